@@ -38,6 +38,7 @@ def exon_hit_counts(occ: DataFrame, hits: DataFrame, home: str, n_exons: DataFra
     one = linked.agg(F.count_distinct("exon_id").alias("n_exons_hit"), F.count_distinct("occ_id").alias("n_occs_hit"), F.coalesce(F.sum("others"), F.lit(0)).alias("n_links_hit"))
     total = multilinks(occ).agg(F.coalesce(F.sum("n_links"), F.lit(0)).alias("n_links"))
     at_home = occ.where(F.col("species") == home).agg(F.count("*").alias("n_occs"))
-    # four one-row aggregates side by side
-    joined = one.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(at_home)).crossJoin(F.broadcast(n_exons))
+    # four one-row aggregates, folded into one row
+    parts = one.unionByName(total, allowMissingColumns=True).unionByName(at_home, allowMissingColumns=True).unionByName(n_exons, allowMissingColumns=True)
+    joined = parts.agg(*[F.max(c).alias(c) for c in ("n_exons_hit", "n_occs_hit", "n_links_hit", "n_links", "n_occs", "n_exons")])
     return joined.withColumn("sensitivity", F.col("n_exons_hit") / F.nullif("n_exons", F.lit(0))).withColumn("specificity", F.col("n_occs_hit") / F.nullif("n_occs", F.lit(0)))

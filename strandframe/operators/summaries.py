@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +10,10 @@ def histogram(df: DataFrame, value: str, width: float, n_bins: int, low: float =
     """bin, n, share for n_bins equal bins, empty ones included; nulls and NaN are skipped in n, share divides by all rows."""
     ok = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     counts = df.groupBy(F.when(ok, F.least(F.greatest(F.floor((F.col(value) - low) / width), F.lit(0)), F.lit(n_bins - 1)).cast("int")).alias("bin")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
     spine = df.sparkSession.range(n_bins).select(F.col("id").cast("int").alias("bin"))
-    return spine.join(counts, "bin", "left").crossJoin(F.broadcast(total)).select("bin", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / F.col("total")).alias("share"))
+    filled = counts.join(spine.withColumn("wanted", F.lit(True)), "bin", "full").select("bin", F.coalesce("n", F.lit(0)).alias("n"), "wanted")
+    # one row per bin: the total is formed over them
+    return filled.select("bin", "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"), "wanted").where("wanted").drop("wanted")
 
 
 def success_curve(scores: DataFrame, by: list[str], score: str, thresholds: list[int]) -> DataFrame:
@@ -31,9 +30,11 @@ def plateaus(history: DataFrame, run: str, order: list[str], best: str, loss: st
 
 
 def grid(spark: SparkSession, parameters: dict[str, list]) -> DataFrame:
-    """All combinations of a few short parameter lists."""
-    frames = [spark.createDataFrame([(v,) for v in values], [name]) for name, values in parameters.items()]
-    return reduce(lambda a, b: a.crossJoin(b), frames)
+    """All combinations of a few short parameter lists, exploded one after the other from one row."""
+    out = spark.range(1).select()
+    for name, values in parameters.items():
+        out = out.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
+    return out
 
 
 def isolated_grid(spark: SparkSession, parameters: dict[str, list]) -> DataFrame:
