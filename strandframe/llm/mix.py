@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.llm.tokens import TOKENIZERS, count_tokens
@@ -80,7 +80,9 @@ def _uniform(id_col: str, seed: int) -> Column:
 
 def sized_documents(docs: DataFrame, targets: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """doc_id, source, n_tokens of the documents of listed sources, each id once."""
-    listed = docs.join(F.broadcast(targets.select("source").where(F.col("source").isNotNull()).distinct().limit(MAX_SOURCES)), "source", "left_semi")
+    if targets.select("source").distinct().count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    listed = docs.join(F.broadcast(targets.select("source").where(F.col("source").isNotNull()).distinct()), "source", "left_semi")
     sizes = count_tokens(listed, {"doc_id": "bigint", "source": "string"}, tokenizer=tokenizer, folder=folder)
     return shared_checkpoint(sizes.where((F.col("n_tokens") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min_by("source", F.struct("n_tokens", "source")).alias("source"), F.min("n_tokens").alias("n_tokens")))
 
@@ -138,10 +140,9 @@ def shares(sized: DataFrame, plan: list[dict], seed: int = 7) -> DataFrame:
         "source string, target_share double, max_repeats int, available_tokens bigint, rate double, too_small boolean",
     )
     got = mix(sized, plan, seed).groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("c"), (F.max("copy_no") + 1).alias("m"))
-    # one row per source: gathered to form the total
     filled = facts.join(got, "source", "left").fillna(0, ["t", "c", "m"])
-    total = filled.agg(F.sum("t").alias("total"))
-    return filled.crossJoin(F.broadcast(total)).select(
-        "source", "target_share", (F.col("t") / F.when(F.col("total") > 0, F.col("total"))).alias("reached_share"), F.col("t").alias("reached_tokens"), F.col("c").alias("n_copies"),
-        F.col("m").cast("int").alias("most_repeats"), "max_repeats", "available_tokens", "rate", "too_small",
+    total = F.sum("t").over(Window.partitionBy())  # one row per source
+    return filled.select(
+        "source", "target_share", (F.col("t") / F.when(total > 0, total)).alias("reached_share"), F.col("t").alias("reached_tokens"), F.col("c").alias("n_copies"), F.col("m").cast("int").alias("most_repeats"),
+        "max_repeats", "available_tokens", (F.col("t") / F.lit(float(sum(p["size"] for p in plan) or 1))).alias("share_of_goal"), "rate", "too_small",
     )
