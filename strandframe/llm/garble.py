@@ -75,6 +75,17 @@ def _cells(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF) >> 14
 
 
+@lru_cache(maxsize=65536)
+def _class(c: str) -> int:
+    return int(_classes(np.array([ord(c)]))[0])
+
+
+def _cell(a: int, b: int) -> int:
+    """_cells for one pair, without the overhead of arrays."""
+    h = (a * 0x9E3779B1 + b * 0x85EBCA6B + ((a * b) ^ (b << 7))) & 0xFFFFFFFF
+    return ((h ^ (h >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF) >> 14
+
+
 def pair_counts(df: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
     """(documents per hashed pair, documents), over all rows; PAIRS cells at most reach the driver."""
 
@@ -164,8 +175,7 @@ class Plausibility:
     def pair(self, a: str, b: str) -> float:
         got = self.memo.get((a, b))
         if got is None:
-            cell = _cells(_classes(np.array([ord(a)])), _classes(np.array([ord(b)])))[0]
-            got = -math.log10((self.counts[cell] + PRIOR_DOCS * _prior(a, b)) / (self.docs + PRIOR_DOCS))
+            got = -math.log10((int(self.counts[_cell(_class(a), _class(b))]) + PRIOR_DOCS * _prior(a, b)) / (self.docs + PRIOR_DOCS))
             if len(self.memo) > 500_000:
                 self.memo.clear()
             self.memo[a, b] = got
