@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandframe.operators.nested import flatten_evaluations
 from strandframe.operators.packed import split_packed
 from strandframe.operators.periods import periods_and_gaps
-from strandframe.operators.rejects import load_lines
+from strandframe.operators.rejects import _QUOTING, _VALID, load_lines
 from strandframe.session import table
 
 ENTITY = ["gtf_file", "seqname", "strand"]
@@ -130,4 +130,12 @@ UNION ALL
 SELECT 'attribute', feature_id, CAST(pos AS INTEGER), tag,
     trim(CASE WHEN regexp_full_match(v, '".*"') THEN replace(replace(substr(v, 2, length(v) - 2), '\"', '"'), '""', '"')
         WHEN regexp_full_match(v, '''.*''') THEN replace(replace(substr(v, 2, length(v) - 2), '\''', ''''), '''''', '''') ELSE v END) FROM tagged""",
+    "p4_found": f"""WITH lines AS (
+    SELECT line_id, file_format, string_split(regexp_replace(raw_line, '\\r$', ''), '\t') AS c FROM annotation_lines
+    WHERE NOT regexp_full_match(regexp_replace(raw_line, '\\r$', ''), '\\s*|(#|track|browser).*')
+) SELECT line_id, reason FROM (
+    SELECT line_id, CASE WHEN len(c) <> 12 THEN 'column_count' WHEN {_QUOTING} THEN 'quoting' WHEN NOT ({_VALID["bed"]}) THEN 'value' END AS reason FROM lines WHERE file_format = 'bed'
+    UNION ALL
+    SELECT line_id, CASE WHEN len(c) <> 9 THEN 'column_count' WHEN {_QUOTING} THEN 'quoting' WHEN NOT ({_VALID["gtf"]}) THEN 'value' END FROM lines WHERE file_format = 'gtf'
+) WHERE reason IS NOT NULL""",
 }
