@@ -47,4 +47,18 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "p1_found": """WITH RECURSIVE big AS (
+    SELECT DISTINCT tileable_id AS id, seq, alphabet = 'aa' AS aa, tile_size AS t, greatest(coalesce(tile_overlap, 0), 0) AS o, length(seq) AS n FROM tileable_sequences WHERE tile_size > 0 AND length(seq) > tile_size
+), letters AS (
+    SELECT id, aa, i, substr(seq, i, 1) AS c FROM big, LATERAL (SELECT unnest(range(1, n + 1)) AS i)
+), classed AS (
+    SELECT *, CASE WHEN c IN ('N', 'n') AND NOT aa OR c IN ('X', 'x', ' ') AND aa THEN 1 WHEN regexp_full_match(c, '[a-z]') THEN 2 ELSE 0 END AS k FROM letters
+), borders AS (
+    SELECT id, i AS p FROM (SELECT *, lead(k) OVER (PARTITION BY id ORDER BY i) AS k2 FROM classed) WHERE k2 IS NOT NULL AND (k <> k2 OR aa AND c = '*')
+), walk AS (
+    SELECT id, t, o, n, CAST(0 AS BIGINT) AS e, CAST(t AS BIGINT) AS reach FROM big
+    UNION ALL
+    SELECT w.id, t, o, n, max(p) AS e, max(p) - o + t AS reach FROM walk w JOIN borders b ON b.id = w.id AND p <= reach AND p > greatest(e, o - 1) WHERE reach < n GROUP BY w.id, t, o, n
+) SELECT id AS tileable_id, CASE WHEN bool_or(reach >= n) THEN 'natural' ELSE 'forced' END AS cut FROM walk GROUP BY id""",
+}
