@@ -6,9 +6,9 @@ task, sessions are formed per (entity, coordinate bin of the interval's start);
 then stitched by running maxima over one summary row per bin, and touching periods and gaps
 are derived with lag/lead inside the bin.
 
-Shuffle volume: the raw rows move once (after sessions are merged in each map task, at most
-bin_width/2 sessions per entity and bin leave a map task); everything else is one row per
-entity and bin. No task ever sees more than one bin of one entity, whatever the skew.
+Shuffle volume: the raw rows move once, after equal intervals have been made one in each map
+task (the aggregate's partial step); everything else is one row per entity and bin. A task
+merges one bin of one entity at a time from a sorted, spillable stream, whatever the skew.
 
 Defined results
 * rows with a null entity column, a null bound, or end < start do not count;
@@ -24,8 +24,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MERGE_BEFORE_SHUFFLE = "spark.sql.sessionWindow.merge.sessions.in.local.partition"
-
 
 def periods_and_gaps(
     df: DataFrame, entity: list[str], start: str, end: str, bin_width: int = 1 << 20, from_name: str = "from_pos", to_name: str = "to_pos"
@@ -40,7 +38,8 @@ def periods_and_gaps(
     rows = df.select(*[F.col(c).alias(k) for c, k in zip(entity, keys)], F.col(start).cast("bigint").alias("_s"), F.col(end).cast("bigint").alias("_e"))
     usable: list[Column] = [F.col(k).isNotNull() for k in keys] + [F.col("_s").isNotNull(), F.col("_e") >= F.col("_s")]
     rows = rows.where(reduce(lambda a, b: a & b, usable)).withColumn("_bin", F.floor(F.col("_s") / F.lit(bin_width)).cast("bigint"))
-    df.sparkSession.conf.set(MERGE_BEFORE_SHUFFLE, "true")
+    # the join below would infer this on one side only, and the two sides would no longer share their exchange
+    rows = rows.where(F.col("_bin").isNotNull())
 
     length = F.make_interval(secs=(F.col("_e") - F.col("_s") + 1).cast("decimal(18,0)") * F.expr("0.000001BD"))
     sessions = (
