@@ -4,13 +4,19 @@ Method: best-first graph search. A state is a text; an edge encodes it with the
 wrongly read in and decodes the bytes with another one (or unescapes character references). The
 search expands the cheapest state first, keeps a hash set of visited states, and ends at the
 cheapest text within reach. The cost of a text is the implausibility of its neighbouring
-characters: minus the logarithm of how many documents of the whole corpus hold each pair with a
-character beyond ASCII, smoothed by a prior over letter classes (script, case, symbols inside
+characters: minus the logarithm of how many distinct texts of the whole corpus hold each pair with
+a character beyond ASCII, smoothed by a prior over letter classes (script, case, symbols inside
 words, control signs). Words are searched one by one, so partly garbled texts are found too.
 
+A garbled text must not vouch for itself: however often it is delivered it counts once, that one is
+taken out for the unnatural pairs of a word that has several of them, and where a word's bytes are valid UTF-8
+these count as seen in one other text at most, so that slightly changed copies do not vouch for each
+other either.
+
 Two passes over the corpus: pair counts go into a table of fixed size (PAIRS hashed cells, one
 partial row per cell and task, combined map-side), which is broadcast; then the search runs in
-mapInArrow with a bounded memo per task. No shuffle of texts, nothing gathered but the table.
+mapInArrow with a bounded memo per task. Only the distinct texts beyond ASCII are shuffled for the
+counts (of plain ones a hash), copies combined map-side; nothing is gathered but the table.
 
 A document is garbled if one of its words gains enough plausibility by leaving the state it is
 in. Where no path helps, it still is if it holds a replacement sign, or a word most of whose
@@ -46,6 +52,8 @@ GAIN_WORD, GAIN_TEXT = 2.0, 6.0
 STEP_COST = 0.5
 #: A word without a repair is garbled if so many of its pairs are unnatural and rarer than this share of documents.
 WILD_PAIRS, WILD_SHARE, WILD_PRIOR = 5, 2e-3, 1e-5
+#: Texts that an unnatural pair counts as seen in if only the judged text holds it.
+UNSEEN = 0.01
 MAX_EXPANSIONS = 12
 MEMO_WORDS = 200_000
 
@@ -87,7 +95,7 @@ def _cell(a: int, b: int) -> int:
 
 
 def pair_counts(df: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
-    """(documents per hashed pair, documents), over all rows; PAIRS cells at most reach the driver."""
+    """(distinct texts per hashed pair, distinct texts); PAIRS cells at most reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, docs = np.zeros(PAIRS, np.int64), 0
@@ -107,7 +115,9 @@ def pair_counts(df: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-1], at))), pa.array(np.concatenate(([docs], total[at])))], ["cell", "n"])
 
-    rows = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    text = F.col(text_col).cast("string")
+    once = df.where(text != "").select(F.when(F.octet_length(text) == F.length(text), F.hex(F.xxhash64(text))).otherwise(text).alias("text")).distinct()
+    rows = once.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(PAIRS, np.int64)
     real = rows[rows["cell"] >= 0]
     counts[real["cell"].to_numpy()] = real["n"].to_numpy()
@@ -189,9 +199,25 @@ class Plausibility:
         bad = sum(1 for a, b in pairs if _prior(a, b) <= WILD_PRIOR and 10 ** -self.pair(a, b) * (self.docs + PRIOR_DOCS) <= max(rare, 1))
         return bad >= WILD_PAIRS and bad >= 0.5 * len(pairs)
 
-    def cost(self, word: str) -> float:
+    def cost(self, word: str, held: dict[tuple[str, str], float] | None = None) -> float:
         padded = f" {word} "
-        return sum(self.pair(a, b) for a, b in zip(padded, padded[1:]) if a > "\x7f" or b > "\x7f") + sum(_member(c) for c in word if c > "\u2fff")
+        pairs = [(a, b) for a, b in zip(padded, padded[1:]) if a > "\x7f" or b > "\x7f"]
+        return sum(self.pair(a, b) for a, b in pairs) + sum(_member(c) for c in word if c > "\u2fff") + (sum(held.get(p, 0.0) for p in pairs) if held else 0.0)
+
+    def held(self, word: str) -> tuple[dict[tuple[str, str], float], dict[tuple[str, str], float]]:
+        """By how much each unnatural pair of a word costs more: without the word's own text, and seen in one other text at most.
+
+        The own text is taken out where several pairs speak; of one or two rare signs it is all there is to know.
+        """
+        padded, out = f" {word} ", ({}, {})
+        pairs = [(a, b) for a, b in zip(padded, padded[1:]) if (a > "\x7f" or b > "\x7f") and _prior(a, b) <= WILD_PRIOR]
+        for a, b in pairs:
+            n = int(self.counts[_cell(_class(a), _class(b))])
+            if len(pairs) >= WILD_PAIRS:
+                n = max(n - 1, UNSEEN)
+            for more, seen in zip(out, (n, min(n, 1))):
+                more[a, b] = -math.log10((seen + PRIOR_DOCS * _prior(a, b)) / (self.docs + PRIOR_DOCS)) - self.pair(a, b)
+        return out
 
 
 @lru_cache(maxsize=None)
@@ -273,38 +299,41 @@ def neighbours(word: str, scorer: Plausibility) -> Iterator[tuple[str, str, bool
                 yield f"{read}>{real}", text, real == "utf_8"
 
 
-def _need(op: str, state: str, utf8: bool) -> float:
-    """Least gain of an edge; many byte pairs are some East Asian sign, so those must gain with every sign."""
+def _need(op: str, state: str, utf8: bool, steps: int = 0) -> float:
+    """Least gain of an edge; many byte pairs are some East Asian sign, so those must gain with every sign, and more after earlier steps."""
     if op.endswith((">euc_jp", ">cp932")):
-        return max(GAIN_OTHER, 1.2 * sum(c > "\x7f" for c in state))
+        return max(GAIN_OTHER, 1.2 * (1 + steps) * sum(c > "\x7f" for c in state))
     return GAIN_UTF8 if utf8 else 0.0 if op == "unescape" else GAIN_OTHER
 
 
 def search(word: str, scorer: Plausibility) -> tuple[str, str, float, float]:
     """(cheapest text within reach, path of operations, gain, gain that its path needs)."""
-    start = scorer.cost(word)
+    held = ({}, *scorer.held(word))  # after several steps, after the first one, and once UTF-8 came out
+    starts = tuple(scorer.cost(word, h) for h in held)
     best = (word, "", 0.0, 0.0)
-    queue: list[tuple[float, int, str, str, float]] = [(start, 0, word, "", 0.0)]
+    queue: list[tuple[float, int, str, str, float, int]] = [(starts[0], 0, word, "", 0.0, 0)]
     visited = {hash(word)}
     order = 0
     for _ in range(MAX_EXPANSIONS):
         if not queue:
             break
-        cost, _, state, path, need = heapq.heappop(queue)
-        if path and start - cost > 0 and start - cost - need > best[2] - best[3]:
-            best = (state, path, start - cost, need)
-        elif path and not best[1] and start - cost > best[2]:
-            best = (state, path, start - cost, need)
+        cost, _, state, path, need, was = heapq.heappop(queue)
+        gain = starts[was] - cost
+        if path and gain > 0 and gain - need > best[2] - best[3]:
+            best = (state, path, gain, need)
+        elif path and not best[1] and gain > best[2]:
+            best = (state, path, gain, need)
         if path.count("|") >= 3:
             continue
         for op, text, utf8 in neighbours(state, scorer):
             if (h := hash(text)) in visited:
                 continue
             visited.add(h)
-            price = scorer.cost(text) + STEP_COST * (path.count("|") + bool(path))
+            now = 2 if utf8 or was == 2 else 0 if path else 1
+            price = scorer.cost(text, held[now]) + STEP_COST * (path.count("|") + bool(path))
             order += 1
-            if price < start or utf8:  # UTF-8 seldom comes out by chance, so even an unlikely text is worth a look
-                heapq.heappush(queue, (price, order, text, f"{path}|{op}" if path else op, max(need, _need(op, state, utf8))))
+            if price < starts[now] or utf8:  # UTF-8 seldom comes out by chance, so even an unlikely text is worth a look
+                heapq.heappush(queue, (price, order, text, f"{path}|{op}" if path else op, max(need, _need(op, state, utf8, path.count("|") + bool(path))), now))
     if (not best[1] or best[2] < best[3]) and scorer.wild(word):
         return word, best[1] if best[1] and best[2] >= GAIN_WORD else "wild", best[2], -1.0
     return best

@@ -75,3 +75,17 @@ def test_long_text(spark):
     df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     row = garble.repair(df).first()
     assert len(row["restored"]) in (len(text), len(text) - 1)
+
+
+def test_copies_do_not_vouch_for_themselves(spark):
+    good = [(i, t) for i, t in enumerate([t for t in CLEAN.values()] * 10)]
+    rows = [(i, f"{t} {i:c<{i % 7}}") for i, t in good]
+    bad = misread("für", "utf_8", "cp1252")
+    dropped = "".join(c for c in misread(CLEAN["ru"], "utf_8", "latin_1") if not 0x80 <= ord(c) < 0xA0)
+    same = {1000 + i: bad for i in range(60)}
+    changed = {2000 + i: f"{bad} {chr(97 + i % 26) * (i // 26 + 1)}" for i in range(60)}
+    lost = {3000 + i: dropped for i in range(60)}
+    rows += [*same.items(), *changed.items(), *lost.items()]
+    got = {r["doc_id"]: r for r in garble.repair(spark.createDataFrame(rows, "doc_id bigint, text string")).where("garbled").collect()}
+    assert set(got) == {*same, *changed, *lost}
+    assert all(got[i]["restored"].startswith("für") for i in (*same, *changed))
