@@ -42,6 +42,12 @@ def background(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.background(K.dna_frames(dna(spark, sf_dir), "seq_id", "seq"), "text", "ACGT")
 
 
+def both_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq_id, species, frame (0 forward, 1 reverse complement), text: what the background, scores, sites and training cover."""
+    once = dna(spark, sf_dir).select(F.struct("seq_id", "species").alias("of"), "seq")
+    return K.dna_frames(once, "of", "seq").select("of.seq_id", "of.species", "frame", "text")
+
+
 def odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.log_odds(P.softmax_rows(logits(spark, sf_dir)), background(spark, sf_dir))
 
@@ -72,16 +78,16 @@ def _seeded(spark: SparkSession, sf_dir: str, max_u: int) -> DataFrame:
 
 @query()
 def profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best window of every text for every profile."""
+    """Best window of every text and strand for every profile; starts on the reverse strand (frame 1) count from its own beginning."""
     ids, cube = P.to_cube(odds(spark, sf_dir), "ACGT")
-    return P.best_scores(dna(spark, sf_dir).select("seq_id", "seq"), "seq_id", "seq", ids, cube)
+    return P.best_scores(both_strands(spark, sf_dir), "seq_id", "text", ids, cube, frame_col="frame")
 
 
 @query()
 def match_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All windows within nine tenths of the highest score that a profile can reach."""
+    """All windows of both strands within nine tenths of the highest score that a profile can reach; starts as in profile_scores."""
     ids, cube = P.to_cube(odds(spark, sf_dir), "ACGT")
-    return P.match_sites(dna(spark, sf_dir).select("seq_id", "seq"), "seq_id", "seq", ids, cube, 0.9 * cube.max(axis=2).sum(axis=1))
+    return P.match_sites(both_strands(spark, sf_dir), "seq_id", "text", ids, cube, 0.9 * cube.max(axis=2).sum(axis=1), frame_col="frame")
 
 
 @query(sql(DNA, query="""SELECT species, round(max(z * exp(z - peak)) / sum(exp(z - peak)), 6) AS top, round(max(peak), 6) AS peak FROM (SELECT species, z, max(z) OVER (PARTITION BY species) AS peak FROM (
@@ -101,11 +107,11 @@ def meme_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def train_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """History of a short training of a model of 8 profiles, seeded by the commonest k-mers, on all DNA texts."""
+    """History of a short training of a model of 8 profiles, seeded by the commonest k-mers, on both strands of all DNA texts."""
     ids, cube = P.to_cube(_seeded(spark, sf_dir, 8), "ACGT")
     q = np.array([r["freq"] for r in background(spark, sf_dir).orderBy("letter").collect()])
-    rows = dna(spark, sf_dir).select("species", "seq")
-    _, history = P.train(rows, "species", "seq", cube, np.maximum(q, 1e-9), epochs=5)
+    rows = both_strands(spark, sf_dir).select("species", "text")
+    _, history = P.train(rows, "species", "text", cube, np.maximum(q, 1e-9), epochs=5)
     return spark.createDataFrame([(h["epoch"], h["loss"], h["best"], h["rate"]) for h in history], "epoch int, loss double, best int, rate double")
 
 

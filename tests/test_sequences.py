@@ -113,6 +113,21 @@ def test_scores_sites_and_training(spark):
     assert history[-1]["loss"] < history[0]["loss"]
 
 
+def test_both_strands_are_scored(spark, tmp_path):
+    from strandframe.plans import models
+
+    word, rng = "AACCGATTACAGGTCA", random.Random(7)
+    back = word[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    seq = "".join(rng.choice("ACGT") for _ in range(30)) + back + "".join(rng.choice("ACGT") for _ in range(20))
+    spark.createDataFrame([(4, "Homo_sapiens:chr1:1-66", "dna", seq)], "tileable_id bigint, sequence_id string, alphabet string, seq string").write.parquet(str(tmp_path / "tileable_sequences.parquet"))
+    spark.createDataFrame([(3, [8.0 if c == a else 0.0 for c in word for a in "ACGT"])], "vec_id bigint, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert [tuple(r) for r in models.match_sites(spark, str(tmp_path)).select("id", "frame", "profile_idx", "start").collect()] == [(4, 1, 3, 20)]
+    best = {r["frame"]: (r["score"], r["start"]) for r in models.profile_scores(spark, str(tmp_path)).collect()}
+    assert best[1][1] == 20 and best[1][0] > best[0][0]
+    seen = models.both_strands(spark, str(tmp_path)).select("species", "frame", "text").orderBy("frame").collect()
+    assert [tuple(r) for r in seen] == [("Homo_sapiens", 0, seq), ("Homo_sapiens", 1, seq[::-1].translate(str.maketrans("ACGT", "TGCA")))]
+
+
 def test_masking_and_smoothing():
     cube = np.full((3, 4), -1.0)
     cube[[0, 1, 2], [0, 1, 2]] = 1.0
