@@ -24,6 +24,7 @@ empty mix. The total defaults to the size of all documents of listed sources.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,13 +36,24 @@ MAX_SOURCES = 10_000
 GRID = 24
 
 
+def _terms(rate: float, cap: int) -> Iterator[float]:
+    """Poisson probabilities of 0..cap-1; by logarithms where exp(-rate) would vanish."""
+    if rate > 700:
+        for k in range(cap):
+            yield math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        return
+    term = math.exp(-rate)
+    for k in range(cap):
+        yield term
+        term *= rate / (k + 1)
+
+
 def capped_mean(rate: float, cap: int) -> float:
     """Mean of min(Poisson(rate), cap)."""
-    term, below, mean = math.exp(-rate), 0.0, 0.0
-    for k in range(cap):
+    below, mean = 0.0, 0.0
+    for term in _terms(rate, cap):
         below += term
         mean += 1 - below
-        term *= rate / (k + 1)
     return mean
 
 
@@ -54,8 +66,6 @@ def rate_for_mean(mean: float, cap: int) -> float:
     low, high = 0.0, 1.0
     while capped_mean(high, cap) < mean:
         high *= 2
-        if high > 700:
-            return math.inf
     for _ in range(80):
         mid = (low + high) / 2
         low, high = (mid, high) if capped_mean(mid, cap) < mean else (low, mid)
@@ -66,11 +76,10 @@ def steps(rate: float, cap: int) -> list[float]:
     """Distribution function at 0..cap-1: a uniform u at or above the k-th step has a count above k."""
     if math.isinf(rate):
         return [0.0] * cap
-    term, below, out = math.exp(-rate), 0.0, []
-    for k in range(cap):
+    below, out = 0.0, []
+    for term in _terms(rate, cap):
         below += term
         out.append(min(below, 1.0))
-        term *= rate / (k + 1)
     return out
 
 

@@ -50,3 +50,10 @@ def test_inversion(cap):
         n = 20_000
         assert abs(sum(sum((i + 0.5) / n >= s for s in mix.steps(rate, cap)) for i in range(n)) / n - mean) < 1e-3
     assert mix.rate_for_mean(cap, cap) == math.inf and mix.rate_for_mean(0, cap) == 0
+
+
+def test_large_means_keep_a_finite_rate():
+    for mean, cap in [(600, 5000), (4000, 5000), (990, 1000)]:
+        rate = mix.rate_for_mean(mean, cap)
+        assert rate < float("inf") and abs(mix.capped_mean(rate, cap) - mean) < 1e-3
+        assert abs(sum(1 - x for x in mix.steps(rate, cap)) - mean) < 1e-3
