@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandframe.operators.nested import flatten_evaluations
 from strandframe.operators.packed import split_packed
 from strandframe.operators.periods import periods_and_gaps
-from strandframe.operators.rejects import _QUOTING, _VALID, load_lines
+from strandframe.operators.rejects import load_lines
 from strandframe.session import table
 
 ENTITY = ["gtf_file", "seqname", "strand"]
@@ -91,6 +91,25 @@ WITH rows AS (
 )
 """
 
+# one rule after another, by patterns over whole columns and casts into wide numbers
+_LINES = r"""WITH lines AS (
+    SELECT line_id, file_format, file_format = 'bed' AS bed, string_split(l, chr(9)) AS c FROM (SELECT line_id, file_format, rtrim(raw_line, chr(13)) AS l FROM annotation_lines WHERE file_format IN ('bed', 'gtf'))
+    WHERE trim(l, ' ' || chr(9)) <> '' AND NOT starts_with(l, '#') AND NOT starts_with(l, 'track') AND NOT starts_with(l, 'browser')
+), shaped AS (
+    SELECT *, len(c) = CASE WHEN bed THEN 12 ELSE 9 END AS whole, CASE WHEN bed THEN [c[2], c[3], c[7], c[8], c[10]] ELSE [c[4], c[5]] END AS numbers, c[CASE WHEN bed THEN 5 ELSE 6 END] AS score,
+        c[CASE WHEN bed THEN 6 ELSE 7 END] AS strand FROM lines
+), counted AS (
+    SELECT *, list_transform(c, lambda x: length(regexp_replace(x, '\\"|[^"]', '', 'g'))) AS marks, list_bool_and(list_transform(numbers, lambda x: regexp_full_match(x, '\d+'))) AS digits FROM shaped
+), judged AS (
+    SELECT line_id, file_format, bed, c, CASE WHEN NOT whole THEN 'column_count' WHEN list_bool_or(list_transform(marks, lambda x: x % 2 = 1)) THEN 'quoting'
+        WHEN NOT digits OR NOT regexp_full_match(score, '\.|[-+]?\d+(\.\d+)?([eE][-+]?\d+)?') OR strand NOT IN ('+', '-', '.') THEN 'value'
+        WHEN bed AND (TRY_CAST(c[2] AS HUGEINT) >= TRY_CAST(c[3] AS HUGEINT) OR list_bool_or(list_transform([c[11], c[12]], lambda x:
+            NOT regexp_full_match(x, '"(\d+(,\d+)*,?)?"|(\d+(,\d+)*,?)?') OR len(regexp_extract_all(x, '\d+')) <> TRY_CAST(c[10] AS HUGEINT)))) THEN 'value'
+        WHEN NOT bed AND (TRY_CAST(c[4] AS HUGEINT) < 1 OR TRY_CAST(c[4] AS HUGEINT) > TRY_CAST(c[5] AS HUGEINT) OR NOT regexp_full_match(c[8], '[012.]')
+            OR NOT regexp_full_match(c[9], '\.|(\s*[\pL_]+ +("([^"\\]|\\.)*"|[^;"\s])("([^"\\]|\\.)*"|[^;"])*(;|$))+\s*')) THEN 'value' END AS reason FROM counted
+)
+"""
+
 _TAGS = r"""
 members AS (
     SELECT feature_id, trim(m, ' ' || chr(9)) AS m FROM (
@@ -130,12 +149,10 @@ UNION ALL
 SELECT 'attribute', feature_id, CAST(pos AS INTEGER), tag,
     trim(CASE WHEN regexp_full_match(v, '".*"') THEN replace(replace(substr(v, 2, length(v) - 2), '\"', '"'), '""', '"')
         WHEN regexp_full_match(v, '''.*''') THEN replace(replace(substr(v, 2, length(v) - 2), '\''', ''''), '''''', '''') ELSE v END) FROM tagged""",
-    "p4_found": f"""WITH lines AS (
-    SELECT line_id, file_format, string_split(regexp_replace(raw_line, '\\r$', ''), '\t') AS c FROM annotation_lines
-    WHERE NOT regexp_full_match(regexp_replace(raw_line, '\\r$', ''), '\\s*|(#|track|browser).*')
-) SELECT line_id, reason FROM (
-    SELECT line_id, CASE WHEN len(c) <> 12 THEN 'column_count' WHEN {_QUOTING} THEN 'quoting' WHEN NOT ({_VALID["bed"]}) THEN 'value' END AS reason FROM lines WHERE file_format = 'bed'
-    UNION ALL
-    SELECT line_id, CASE WHEN len(c) <> 9 THEN 'column_count' WHEN {_QUOTING} THEN 'quoting' WHEN NOT ({_VALID["gtf"]}) THEN 'value' END FROM lines WHERE file_format = 'gtf'
-) WHERE reason IS NOT NULL""",
+    "p4_found": _LINES + "SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
+    "p4_loaded": _LINES + """SELECT line_id, file_format, c[1] AS chrom, CAST(c[CASE WHEN bed THEN 2 ELSE 4 END] AS BIGINT) AS start_pos, CAST(c[CASE WHEN bed THEN 3 ELSE 5 END] AS BIGINT) AS end_pos,
+    c[CASE WHEN bed THEN 6 ELSE 7 END] AS strand, TRY_CAST(c[CASE WHEN bed THEN 5 ELSE 6 END] AS DOUBLE) AS score, CASE WHEN bed THEN CAST(c[10] AS BIGINT) END AS block_count,
+    CASE WHEN bed THEN array_to_string(list_transform(regexp_extract_all(c[11], '\\d+'), lambda x: CAST(x AS BIGINT)), ',') END AS block_sizes,
+    CASE WHEN bed THEN array_to_string(list_transform(regexp_extract_all(c[12], '\\d+'), lambda x: CAST(x AS BIGINT)), ',') END AS block_starts,
+    CASE WHEN NOT bed THEN TRY_CAST(c[8] AS INTEGER) END AS frame, CASE WHEN NOT bed THEN c[9] END AS attribute FROM judged WHERE reason IS NULL""",
 }
