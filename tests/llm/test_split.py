@@ -68,3 +68,28 @@ def test_very_long_and_empty(spark):
     df = spark.createDataFrame([(1, "ACGTn" * 1_000_000, "dna", 334, 30, "", 0)], SCHEMA)
     assert [r["cut"] for r in split.cut_kinds(df).collect()] == ["natural"]
     assert split.cut_kinds(df.limit(0)).count() == 0 and split.pieces(df.limit(0)).count() == 0
+
+
+def packed(spark, *rows):
+    df = spark.createDataFrame([(i, *r, "", 0) for i, r in enumerate(rows)], SCHEMA)
+    out = {}
+    for r in split.pieces(df).orderBy("tileable_id", "piece_no").collect():
+        out.setdefault(r["tileable_id"], []).append(r["piece"])
+    return [out[i] for i in range(len(rows))]
+
+
+def test_whole_runs_before_stops(spark):
+    # the second run fits a piece of its own, so it is not cut at its stop to fill the room left
+    assert packed(spark, ("XXXXXMMM*MM", "aa", 10, 0)) == [["XXXXX", "MMM*MM"]]
+    # an oversized run is opened: its stretches fill the room left, and what remains joins the next sibling
+    assert packed(spark, ("XXXXXMMM*MMMMM*MM*xx", "aa", 10, 0)) == [["XXXXXMMM*", "MMMMM*MM*", "xx"]]
+    assert packed(spark, ("XXXXXMMM*MMMM*MM*xx", "aa", 10, 0)) == [["XXXXXMMM*", "MMMM*MM*xx"]]
+    # siblings merge up to the limit, overlap included; only a stretch beyond it is cut between letters
+    assert packed(spark, ("AAnnAAnnAA", "dna", 6, 2), ("AAAAAAAAnn", "dna", 4, 1)) == [["AAnnAA", "AAnnAA"], ["AAAA", "AAAA", "AAnn"]]
+
+
+def test_one_very_long_text_with_small_pieces(spark):
+    n = 2_000_000
+    df = spark.createDataFrame([(1, "ACGTN" * (n // 5), "dna", 1000, 10, "", 0)], SCHEMA)
+    got = split.pieces(df).selectExpr("count(*) AS c", "sum(length(piece)) AS s", "max(piece_end) AS e", "max(length(piece)) AS m").first()
+    assert got["e"] == n and got["m"] <= 1000 and got["s"] == n + 10 * (got["c"] - 1)
