@@ -13,7 +13,7 @@ from strandframe.operators import links as L
 from strandframe.operators import summaries as R
 from strandframe.plans.base import DNA, FEATURES, TRANSCRIPTS, dna, features, sql, transcripts
 from strandframe.plans.sequences import _KMERS
-from strandframe.session import table
+from strandframe.session import shared_checkpoint, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -161,17 +161,17 @@ def exon_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- occurrences and links: hits of the selected seeds
 
-_SEEDS = f"""c AS (SELECT kmer, count(*) AS n, min(seq_id * 1000000 + pos) AS seen FROM ({_KMERS}) WHERE regexp_full_match(kmer, '[ACGT]+') GROUP BY kmer),
+_SEEDS = f"""c AS (SELECT kmer, count(*) AS n, min((seq_id, pos)) AS seen FROM ({_KMERS}) WHERE regexp_full_match(kmer, '[ACGT]+') GROUP BY kmer),
 seeds AS (SELECT kmer, r AS profile FROM (SELECT kmer, n, rank() OVER (ORDER BY n DESC) AS k, row_number() OVER (ORDER BY n DESC, seen, kmer) AS r FROM c) WHERE (n >= 8 OR k <= 10) AND r <= 200),
 occ AS (SELECT profile, species, seq_id, pos, kmer FROM ({_KMERS}) JOIN seeds USING (kmer))"""
 
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """profile, species, chromosome, g_start, seq_id, pos of every hit of the selected seeds (at most 200, so broadcast)."""
-    rows = dna(spark, sf_dir)
     keep = ["species", "chromosome", "g_start", "seq_id"]
-    seeds = K.select_kmers(K.kmer_rows(rows, keep, "seq", 8), min_occ=8, min_u=10, max_u=200).select("kmer", F.col("place").alias("profile"))
-    return K.kmer_rows(rows, keep, "seq", 8).join(F.broadcast(seeds), "kmer")
+    rows = K.kmer_rows(dna(spark, sf_dir), keep, "seq", 8)
+    seeds = K.select_kmers(K.count_kmers(rows, ["seq_id", "pos"]), max_u=200, min_occ=8, min_u=10).select("kmer", F.col("place").alias("profile"))
+    return rows.join(F.broadcast(seeds), "kmer")
 
 
 @query(sql(DNA, _SEEDS, query="SELECT profile, count(*) AS n_occs, count(DISTINCT species) AS n_species, CAST(round((SELECT product(n) FROM (SELECT count(*) AS n FROM occ o2 WHERE o2.profile = occ.profile GROUP BY o2.species))) AS BIGINT) AS n_links FROM occ GROUP BY profile"))
@@ -238,7 +238,8 @@ _HOME_EXONS = "home_exons AS (SELECT DISTINCT seqname, s, e FROM feats WHERE fea
     )
 )
 def exon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    occ = occurrences(spark, sf_dir).withColumn("occ_id", F.struct("profile", "seq_id", "pos"))
+    # four parts of the result read the hits: they are found once and kept in the shared folder
+    occ = shared_checkpoint(occurrences(spark, sf_dir).select("profile", "species", "chromosome", "g_start", "seq_id", "pos")).withColumn("occ_id", F.struct("profile", "seq_id", "pos"))
     exons = features(spark, sf_dir).where((F.col("feature") == "exon") & (F.substring_index("gtf_file", ".", 1) == HOME)).select("seqname", "s", "e").distinct()
     home = occ.where(F.col("species") == HOME).select("profile", "occ_id", F.col("chromosome").alias("seqname"), (F.col("g_start") + F.col("pos")).alias("s"), (F.col("g_start") + F.col("pos") + 8).alias("e"))
     hits = I.overlap_join(home, exons, ["seqname"]).withColumn("exon_id", F.struct("seqname", "s2", "e2"))

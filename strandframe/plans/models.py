@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from strandframe.operators import kmers as K
 from strandframe.operators import profiles as P
 from strandframe.operators.trees import edges, far_leaves, parse_newick
-from strandframe.plans.annotations import _SEEDS
-from strandframe.plans.base import DNA, dna, sql
+from strandframe.plans.base import DNA, GREEDY, dna, sql
+from strandframe.plans.sequences import greedy_counts
 from strandframe.session import table
 from strandframe.sources.formats import meme_text
 
@@ -66,13 +66,14 @@ def log_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(odds(spark, sf_dir))
 
 
-@query(sql(DNA, _SEEDS, _Q, query="""SELECT profile AS profile_idx, CAST(pos AS INTEGER) AS pos, letter, round(freq + CASE WHEN pos >= 6 AND pos < 14 AND substr(kmer, CAST(pos - 6 + 1 AS BIGINT), 1) = letter THEN 4.0 ELSE 0.0 END, 9) AS value FROM seeds, range(20) t(pos), q"""))
+@query(sql(DNA, GREEDY, _Q, "seeds AS (SELECT kmer, r AS profile FROM (SELECT kmer, n, rank() OVER (ORDER BY n DESC) AS k, row_number() OVER (ORDER BY n DESC, seen, kmer) AS r FROM greedy) WHERE (n >= 8 OR k <= 10) AND r <= 200)",
+           query="""SELECT profile AS profile_idx, CAST(pos AS INTEGER) AS pos, letter, round(freq + CASE WHEN pos >= 4 AND pos < 16 AND substr(kmer, CAST(pos - 4 + 1 AS BIGINT), 1) = letter THEN 4.0 ELSE 0.0 END, 9) AS value FROM seeds, range(20) t(pos), q"""))
 def seed_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_seeded(spark, sf_dir, 200), 9)
 
 
 def _seeded(spark: SparkSession, sf_dir: str, max_u: int) -> DataFrame:
-    seeds = K.select_kmers(K.kmer_rows(dna(spark, sf_dir), ["species", "seq_id"], "seq", 8), min_occ=8, min_u=min(10, max_u), max_u=max_u)
+    seeds = K.select_kmers(greedy_counts(spark, sf_dir), max_u=max_u, min_occ=8, min_u=min(10, max_u))
     return P.seed_logits(seeds, background(spark, sf_dir), 20)
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import seq as S
 from strandframe.operators import kmers as K
-from strandframe.plans.base import DNA, dna, sql
+from strandframe.operators import letters as A
+from strandframe.plans.base import DNA, GREEDY, dna, frames, sql
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -46,13 +47,13 @@ def six_frame_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql(DNA, query=f"SELECT seq_id, {_aa('seq', '0')} AS forward, {_aa(_RC.format('seq'), '0')} AS backward FROM seqs"))
 def single_frame_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dna(spark, sf_dir).select("seq_id", S.translate_frame(F.col("seq")).alias("forward"), S.translate_frame(S.reverse_complement(F.col("seq"))).alias("backward"))
+    return A.translations(dna(spark, sf_dir), ["seq_id"], "seq", [0, 3]).select("seq_id", F.col("residues")[0].alias("forward"), F.col("residues")[1].alias("backward"))
 
 
 @query(sql(DNA, query=f"SELECT sequence_id || ':f' || f AS id, seq_id, translate({_aa('seq', 'f')}, ' ', 'X') AS residues FROM seqs, range(3) r(f)"))
 def translated_view_x(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = dna(spark, sf_dir).withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    return rows.select(F.concat("sequence_id", F.lit(":f"), "f").alias("id"), "seq_id", F.translate(S.translate_frame(F.col("seq"), F.col("f")), " ", "X").alias("residues"))
+    rows = A.translations(dna(spark, sf_dir), ["sequence_id", "seq_id"], "seq", [0, 1, 2]).select("sequence_id", "seq_id", F.posexplode("residues").alias("f", "t"))
+    return rows.select(F.concat("sequence_id", F.lit(":f"), "f").alias("id"), "seq_id", F.translate("t", " ", "X").alias("residues"))
 
 
 @query(sql(DNA, query=f"SELECT seq_id, substr(seq, length(seq) // 4 + 1, length(seq) // 2 - length(seq) // 4) AS part, {_RC.format('substr(seq, length(seq) // 4 + 1, length(seq) // 2 - length(seq) // 4)')} AS part_rc FROM seqs"))
@@ -209,7 +210,7 @@ def tiles_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.tiles(dna(spark, sf_dir), "seq_id", "seq", 334, reverse=True)
 
 
-@query(sql(DNA, query="SELECT species, seq_id, n_tiles, before, before // 7 AS first_step FROM (SELECT species, seq_id, CAST(ceil(length(seq) / 334.0) AS BIGINT) AS n_tiles, CAST(coalesce(sum(CAST(ceil(length(seq) / 334.0) AS BIGINT)) OVER (PARTITION BY species ORDER BY seq_id, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM seqs)"))
+@query(sql(DNA, query="SELECT species, seq_id, n_tiles, before, before // 7 AS first_step FROM (SELECT species, seq_id, CAST(ceil(length(seq) / 334.0) AS BIGINT) AS n_tiles, CAST(coalesce(sum(CAST(ceil(length(seq) / 334.0) AS BIGINT)) OVER (PARTITION BY species ORDER BY seq_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM seqs)"))
 def tile_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which training step each sequence's first tile falls in, genomes side by side, 7 tiles a step."""
     return K.tile_steps(dna(spark, sf_dir), "species", "seq_id", "seq", 334, 7)
@@ -231,22 +232,28 @@ def kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("kmer").agg(F.count("*").alias("n"), F.count_distinct("species").alias("n_species"))
 
 
-@query(
-    sql(
-        DNA,
-        f"c AS (SELECT kmer, count(*) AS n, min(seq_id * 1000000 + pos) AS seen FROM ({_KMERS}) WHERE regexp_full_match(kmer, '[ACGT]+') GROUP BY kmer)",
-        query="SELECT kmer, n, CAST(r AS BIGINT) AS place FROM (SELECT kmer, n, rank() OVER (ORDER BY n DESC) AS k, row_number() OVER (ORDER BY n DESC, seen, kmer) AS r FROM c) WHERE (n >= 8 OR k <= 10) AND r <= 200",
-    )
-)
+def greedy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greedy index of 12-mers over all genomes and both strands, tiles of 6 letters."""
+    keep = ["home", "species", "seq_id", "frame"]
+    return K.greedy_index(K.kmer_rows(frames(spark, sf_dir), keep, "text", 12), [*keep, "pos"], 6)
+
+
+@query(sql(DNA, GREEDY, query="SELECT kmer, n, CAST(r AS BIGINT) AS place FROM (SELECT kmer, n, rank() OVER (ORDER BY n DESC) AS k, row_number() OVER (ORDER BY n DESC, seen, kmer) AS r FROM greedy) WHERE (n >= 8 OR k <= 10) AND r <= 200"))
 def kmer_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeds: enough occurrences or within the ties of the least number, at most 200 (that cap is the selection's own)."""
-    return K.select_kmers(K.kmer_rows(dna(spark, sf_dir), ["species", "seq_id"], "seq", 8), min_occ=8, min_u=10, max_u=200)
+    """Seeds of the greedy index: enough occurrences, or within the ties of the least number; at most 200 (that cap is the selection's own)."""
+    return K.select_kmers(greedy_counts(spark, sf_dir), max_u=200, min_occ=8, min_u=10)
+
+
+@query(sql(DNA, GREEDY, query="SELECT kmer, n, CAST(r AS BIGINT) AS place FROM (SELECT kmer, n, row_number() OVER (ORDER BY n DESC, seen, kmer) AS r FROM greedy) WHERE r <= 200"))
+def kmer_selection_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly 200 seeds, however rare the last ones are (all there are, where they are fewer)."""
+    return K.select_kmers(greedy_counts(spark, sf_dir), max_u=200, enforce_u=True)
 
 
-@query()
+@query(sql(DNA, GREEDY, query="SELECT kmer, n FROM greedy"))
 def greedy_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k-mers admitted in order, a tile admitting no second new one; exact per chromosome of each species."""
-    return K.greedy_kmers(dna(spark, sf_dir), ["species", "chromosome"], "seq_id", "seq", k=12, tile=6)
+    """k-mers admitted by one scan over all genomes, texts and strands, a tile admitting no second new one, with their counts."""
+    return greedy_counts(spark, sf_dir).select("kmer", "n")
 
 
 @query(sql(DNA, f"c AS (SELECT species, kmer, count(*) AS n FROM ({_KMERS}) WHERE regexp_full_match(kmer, '[ACGT]+') GROUP BY ALL)",
@@ -266,11 +273,11 @@ def kmer_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("kmer").agg(F.bool_and(F.col("species") == "Homo_sapiens").alias("own")).where("own").select("kmer")
 
 
-@query(sql(DNA, query="SELECT species, seq_id, CAST(row_number() OVER (ORDER BY CASE WHEN species = 'Homo_sapiens' THEN 0 ELSE 1 END, species, seq_id, sequence_id, seq) - 1 AS BIGINT) AS place, 'seq' || (row_number() OVER (ORDER BY CASE WHEN species = 'Homo_sapiens' THEN 0 ELSE 1 END, species, seq_id, sequence_id, seq) - 1) AS alias FROM seqs"))
+@query(sql(DNA, query="SELECT species, seq_id, CAST(r AS BIGINT) AS place, 'seq' || r AS alias FROM (SELECT species, seq_id, row_number() OVER (ORDER BY CASE WHEN species = 'Homo_sapiens' THEN 0 ELSE 1 END, species, seq_id) - 1 AS r FROM seqs)"))
 def alias_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense numbers in one order over all texts, the first species ahead; numbered per range partition, not in one task."""
+    """Dense numbers in one order over all texts, the first species ahead; numbered per range partition, not in one task, and without their letters."""
     first = F.when(F.col("species") == "Homo_sapiens", 0).otherwise(1)
-    out = K.number_rows(dna(spark, sf_dir).withColumn("first", first), ["first", "species", "seq_id", "sequence_id", "seq"])
+    out = K.number_rows(dna(spark, sf_dir).select(first.alias("first"), "species", "seq_id"), ["first", "species", "seq_id"])
     return out.select("species", "seq_id", F.col("number").alias("place"), F.concat(F.lit("seq"), F.col("number").cast("string")).alias("alias"))
 
 

@@ -68,10 +68,74 @@ def test_tiles_join_to_the_text(spark):
         assert all(len(r["tile"]) <= 4 for r in rows) and {r["id"] for r in rows} == {1, 2}
 
 
-def test_greedy_kmers(spark):
-    df = spark.createDataFrame([("g", 1, "ACGTACGTNACGT"), ("g", 2, "ACGa"), ("g", 3, "")], "g string, id int, seq string")
-    got = {r["kmer"]: r["n"] for r in K.greedy_kmers(df, ["g"], "id", "seq", 3, 2).collect()}
-    assert got == {"ACG": 4, "GTA": 1, "CGT": 1}
+def greedy_by_loop(texts, k, tile):
+    """The scan as it is told, one window after the other."""
+    counts, marked = {}, set()
+    for *text, seq in sorted(texts):
+        for i in range(len(seq) - k + 1):
+            word, at = seq[i : i + k], (*text, i // tile)
+            if set(word) <= set("ACGT") and (word in counts or at not in marked):
+                counts[word] = counts.get(word, 0) + 1
+                marked.add(at)
+    return counts
+
+
+@pytest.mark.parametrize("seed, k, tile", [(1, 3, 2), (2, 2, 5), (3, 4, 3), (4, 3, 6), (5, 1, 4)])
+def test_greedy_index_equals_the_loop(spark, seed, k, tile):
+    rng = random.Random(seed)
+    texts = [(g, s, f, "".join(rng.choice("ACGTACGTACGTaN") for _ in range(rng.randrange(70)))) for g in "ab" for s in range(25) for f in (0, 1)]
+    rows = K.kmer_rows(spark.createDataFrame(texts, "g string, s int, f int, t string"), ["g", "s", "f"], "t", k)
+    counts = K.greedy_index(rows, ["g", "s", "f", "pos"], tile)
+    assert {r["kmer"]: r["n"] for r in counts.collect()} == greedy_by_loop(texts, k, tile)
+    want = sorted(greedy_by_loop(texts, k, tile).values(), reverse=True)
+    exact = [r["n"] for r in K.select_kmers(counts, max_u=7, enforce_u=True).orderBy("place").collect()]
+    assert exact == want[:7]
+    ties = [r["n"] for r in K.select_kmers(counts, max_u=50, min_occ=10**6, min_u=3).orderBy("place").collect()]
+    assert ties == [n for n in want if n >= want[min(2, len(want) - 1)]][:50]
+
+
+def test_random_kmers_follow_the_background(spark):
+    rows = K.random_kmers(spark, 400, 12, {"A": 6.0, "C": 2.0, "G": 2.0, "T": 0.0}, 5)
+    got = [r["kmer"] for r in rows.orderBy("place").collect()]
+    assert got == [r["kmer"] for r in rows.orderBy("place").collect()] and len(got) == 400 and all(len(x) == 12 for x in got)
+    text = "".join(got)
+    assert abs(text.count("A") / len(text) - 0.6) < 0.03 and "T" not in text
+
+
+def test_letter_kernels(spark):
+    from strandframe.operators import letters as A
+
+    rng = random.Random(9)
+    seqs = ["", "A", "ACG", "é", "ACGTé𝄞ACGTNacgtACGATT"] + ["".join(rng.choice("ACGTACGTNacé") for _ in range(rng.randrange(50))) for _ in range(60)]
+    df = spark.createDataFrame([(i, s, "x") for i, s in enumerate(seqs)] + [(999, None, "x")], "id int, seq string, residues string")
+    frames = {r["id"]: r["residues"] for r in A.translations(df, ["id"], "seq", [0, 1, 2, 3, 4, 5]).collect()}
+    assert frames == {r["id"]: r["t"] for r in df.where("seq IS NOT NULL").select("id", S.six_frames(F.col("seq")).alias("t")).collect()}
+    words = {(r["id"], r["pos"], r["kmer"]) for r in A.kmer_rows(df, ["id"], "seq", 3).collect()}
+    assert words == {(i, p, s[p : p + 3]) for i, s in enumerate(seqs) for p in range(len(s) - 2) if set(s[p : p + 3]) <= set("ACGT")}
+    hot = {(r["id"], r["pos"], r["letter_idx"]) for r in A.one_hot(df, ["id"], "seq", "ACGT").collect()}
+    assert hot == {(i, p, "ACGT".index(c)) for i, s in enumerate(seqs) for p, c in enumerate(s) if c in "ACGT"}
+    for reverse in (False, True):
+        cut = {(r["id"], r["tile_ord"], r["tile_start"], r["tile"]) for r in A.tiles(df, ["id"], "seq", 7, reverse).collect()}
+        want = set()
+        for i, s in enumerate(seqs):
+            for k in range(-(-len(s) // 7)):
+                a, b = (max(len(s) - 7 * (k + 1), 0), len(s) - 7 * k) if reverse else (7 * k, min(7 * k + 7, len(s)))
+                want.add((i, k, a, s[a:b]))
+        assert cut == want
+
+
+def test_tiles_are_linear_in_long_texts(spark):
+    df = spark.createDataFrame([(1, "ACGTacgtNN" * 200_000)], "id int, seq string")
+    got = K.tiles(df, "id", "seq", 334).selectExpr("count(*) AS c", "sum(length(tile)) AS n").first()
+    assert (got["c"], got["n"]) == (-(-2_000_000 // 334), 2_000_000)
+
+
+def test_running_total(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), i, rng.randrange(5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, i int, v bigint")
+    got = {r["i"]: r["before"] for r in K.running_total(df, ["g"], ["i"], "v").collect()}
+    assert got == {i: sum(v for g2, j, v in rows if g2 == g and j < i) for g, i, _ in rows}
 
 
 def test_kernel_against_loops():
