@@ -174,16 +174,43 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(seeds), "kmer")
 
 
-@query(sql(DNA, _SEEDS, query="SELECT profile, count(*) AS n_occs, count(DISTINCT species) AS n_species, CAST(round((SELECT product(n) FROM (SELECT count(*) AS n FROM occ o2 WHERE o2.profile = occ.profile GROUP BY o2.species))) AS BIGINT) AS n_links FROM occ GROUP BY profile"))
+@query(sql(DNA, _SEEDS, query="""SELECT profile, count(*) AS n_occs, count(DISTINCT species) AS n_species, TRY_CAST(round((SELECT product(n) FROM (SELECT count(*) AS n FROM occ o2 WHERE o2.profile = occ.profile GROUP BY o2.species))) AS BIGINT) AS n_links,
+    round((SELECT sum(log10(n)) FROM (SELECT count(*) AS n FROM occ o2 WHERE o2.profile = occ.profile GROUP BY o2.species)), 6) AS log10_links FROM occ GROUP BY profile"""))
 def unique_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.multilinks(occurrences(spark, sf_dir)).select("profile", "n_occs", "n_species", "n_links")
+    """Links that each profile's occurrences make; beyond 64 bits the count is null and its logarithm remains."""
+    return L.multilinks(occurrences(spark, sf_dir)).select("profile", "n_occs", "n_species", F.col("n_links").try_cast("bigint").alias("n_links"), F.round("log10_links", 6).alias("log10_links"))
+
+
+@query(sql(DNA, _SEEDS, query="SELECT chromosome, count(DISTINCT profile) AS n_profiles, CAST(sum(n) AS BIGINT) AS n_occs, CAST(sum(l) AS BIGINT) AS n_links FROM (SELECT chromosome, profile, sum(n) AS n, round(product(n)) AS l FROM (SELECT chromosome, profile, o.species, count(*) AS n FROM occ o JOIN seqs USING (seq_id) GROUP BY ALL) GROUP BY ALL) GROUP BY chromosome"))
+def multi_profile_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of groups of several profiles (here: of each chromosome), the sums over their profiles."""
+    out = L.links_of_groups(occurrences(spark, sf_dir), "chromosome")
+    return out.select("chromosome", "n_profiles", "n_occs", F.col("n_links").try_cast("bigint").alias("n_links"))
+
+
+@query(sql(DNA, _SEEDS, query="SELECT profile, species, seq_id, pos FROM occ WHERE profile IN (SELECT profile FROM occ WHERE species = 'Homo_sapiens') ORDER BY ALL"))
+def links_with_species(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the multi-links that hold an occurrence of the first species."""
+    return L.with_species(occurrences(spark, sf_dir), [HOME]).select("profile", "species", "seq_id", F.col("pos").cast("bigint").alias("pos"))
+
+
+@query(sql(DNA, _SEEDS, "turned AS (SELECT profile, o.species, o.seq_id, pos, sequence_id, seq, o.seq_id % 2 = 1 AS r FROM occ o JOIN seqs USING (seq_id))",
+           query="""SELECT profile AS link, CAST(row_number() OVER (PARTITION BY profile ORDER BY species) - 1 AS INTEGER) AS line_no, CASE WHEN r THEN reverse(translate(s, 'ACGTacgtNWSMKRYBDHVNZ ', 'TGCAtgcaNNNNNNNNNNNNN ')) ELSE s END || ' - ' || sequence_id || ' at ' || pos || ':' || least(pos + 12, n) AS line
+           FROM (SELECT *, substr(seq, CAST(pos + 1 AS BIGINT), 12) AS s, length(seq) AS n FROM turned WHERE (seq_id, pos) IN (SELECT min((t.seq_id, t.pos)) FROM turned t GROUP BY t.profile, t.species) )"""))
+def link_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first occurrence of each profile in each species as one link, its letters under one another, odd sequences from their reverse strand."""
+    occ = occurrences(spark, sf_dir)
+    first = occ.groupBy("profile", "species").agg(F.min(F.struct("seq_id", "pos")).alias("m"))
+    members = first.select(F.col("profile").alias("link"), "species", "m.seq_id", "m.pos", (F.col("m.seq_id") % 2).cast("int").alias("frame"))
+    return L.align(members, dna(spark, sf_dir), 12).withColumn("line_no", F.col("line_no").cast("int"))
 
 
 @query(
     "WITH RECURSIVE " + DNA + "," + _SEEDS + """, per AS (SELECT profile, species, count(*) AS n FROM occ GROUP BY ALL), good AS (SELECT profile FROM per GROUP BY profile HAVING count(*) > 1 AND round(product(n)) <= 100),
+    stepped AS (SELECT profile, product(n) OVER (PARTITION BY profile ORDER BY species) AS l FROM per), over AS (SELECT profile, CAST(round(min(l)) AS BIGINT) AS skipped FROM stepped WHERE round(l) > 100 AND profile IN (SELECT profile FROM per GROUP BY profile HAVING count(*) > 1) GROUP BY profile),
     placed AS (SELECT profile, species || ':' || seq_id || ':' || pos AS name, dense_rank() OVER (PARTITION BY profile ORDER BY species) AS d FROM occ WHERE profile IN (FROM good)),
     grown AS (SELECT profile, name AS members, d FROM placed WHERE d = 1 UNION ALL SELECT g.profile, g.members || '|' || p.name, p.d FROM grown g JOIN placed p ON p.profile = g.profile AND p.d = g.d + 1)
-    SELECT profile, members FROM grown WHERE d = (SELECT max(d) FROM placed p WHERE p.profile = grown.profile)"""
+    SELECT profile, members, CAST(NULL AS BIGINT) AS skipped FROM grown WHERE d = (SELECT max(d) FROM placed p WHERE p.profile = grown.profile) UNION ALL SELECT profile, NULL, skipped FROM over"""
 )
 def link_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.expand_links(occurrences(spark, sf_dir), 100)
@@ -244,7 +271,8 @@ def exon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = occ.where(F.col("species") == HOME).select("profile", "occ_id", F.col("chromosome").alias("seqname"), (F.col("g_start") + F.col("pos")).alias("s"), (F.col("g_start") + F.col("pos") + 8).alias("e"))
     hits = I.overlap_join(home, exons, ["seqname"]).withColumn("exon_id", F.struct("seqname", "s2", "e2"))
     out = L.exon_hit_counts(occ, hits, HOME, exons.agg(F.count("*").alias("n_exons")))
-    return out.select("n_exons_hit", "n_occs_hit", "n_links_hit", "n_links", "n_occs", "n_exons")
+    big = lambda c: F.col(c).try_cast("bigint").alias(c)
+    return out.select("n_exons_hit", "n_occs_hit", big("n_links_hit"), big("n_links"), "n_occs", "n_exons")
 
 
 @query(sql(DNA, _SEEDS, query="SELECT o.profile, o.seq_id, o.pos, s.sequence_id, substr(s.seq, o.pos + 1, 8) AS bases FROM occ o JOIN seqs s ON s.seq_id = o.seq_id"))
