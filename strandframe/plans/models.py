@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandframe.operators import kmers as K
 from strandframe.operators import profiles as P
+from strandframe.operators import training as T
 from strandframe.operators.trees import edges, far_leaves, parse_newick
 from strandframe.plans.base import DNA, GREEDY, dna, sql
 from strandframe.plans.sequences import greedy_counts
@@ -77,28 +78,110 @@ def _seeded(spark: SparkSession, sf_dir: str, max_u: int) -> DataFrame:
     return P.seed_logits(seeds, background(spark, sf_dir), 20)
 
 
-@query()
+def _scan(width: int) -> str:
+    """Scores z of all windows of both strands for all profiles of r: four letters at a time, looked up in lists over the profiles."""
+    assert width % 4 == 0
+    quads = width // 4
+    return f"""texts AS (SELECT seq_id, species, 0 AS frame, seq AS text FROM seqs UNION ALL SELECT seq_id, species, 1, reverse(translate(seq, 'ACGTacgt', 'TGCAtgca')) FROM seqs),
+    cells AS (SELECT profile_idx, pos, instr('ACGT', letter) - 1 AS a, value FROM r UNION ALL SELECT DISTINCT profile_idx, pos, 4, 0.0 FROM r),
+    quads AS (SELECT w.pos // 4 AS g, ((w.a * 5 + x.a) * 5 + y.a) * 5 + z.a AS code, list(w.value + x.value + y.value + z.value ORDER BY w.profile_idx) AS v
+        FROM cells w JOIN cells x ON x.profile_idx = w.profile_idx AND x.pos = w.pos + 1 JOIN cells y ON y.profile_idx = w.profile_idx AND y.pos = w.pos + 2 JOIN cells z ON z.profile_idx = w.profile_idx AND z.pos = w.pos + 3 WHERE w.pos % 4 = 0 GROUP BY ALL),
+    coded AS (SELECT seq_id, species, frame, length(text) AS n, list_transform(string_split(text, ''), lambda c: CASE c WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 4 END) AS h FROM texts),
+    wins AS (SELECT seq_id, species, frame, i AS start, list_transform(range({quads}), lambda k: ((h[i + 4 * k + 1] * 5 + h[i + 4 * k + 2]) * 5 + h[i + 4 * k + 3]) * 5 + h[i + 4 * k + 4]) AS k
+        FROM coded, LATERAL (SELECT unnest(range(greatest(n - {width - 1}, 0))) AS i)),
+    ids AS (SELECT list(DISTINCT profile_idx ORDER BY profile_idx) AS ps FROM r),
+    scored AS (SELECT seq_id, species, frame, start, unnest(ps) AS profile_idx, {" + ".join(f"unnest(q{g}.v)" for g in range(quads))} AS z FROM wins w {" ".join(f"JOIN quads q{g} ON q{g}.g = {g} AND q{g}.code = w.k[{g + 1}]" for g in range(quads))}, ids)"""
+
+
+@query(sql(DNA, _LOGITS, _P, _Q, _R, _scan(16), query="SELECT seq_id, frame, profile_idx, round(max(z), 6) AS score, arg_max(start, (z, -start)) AS start FROM scored GROUP BY ALL"))
 def profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best window of every text and strand for every profile; starts on the reverse strand (frame 1) count from its own beginning."""
     ids, cube = P.to_cube(odds(spark, sf_dir), "ACGT")
-    return P.best_scores(both_strands(spark, sf_dir), "seq_id", "text", ids, cube, frame_col="frame")
+    out = P.best_scores(both_strands(spark, sf_dir), "seq_id", "text", ids, cube, frame_col="frame")
+    return out.withColumn("score", F.round("score", 6)).withColumnRenamed("id", "seq_id")
 
 
-@query()
+@query(sql(DNA, _LOGITS, _P, _Q, _R, _scan(16), "least AS (SELECT profile_idx, 0.9 * sum(top) AS need FROM (SELECT profile_idx, pos, max(value) AS top FROM r GROUP BY ALL) GROUP BY profile_idx)",
+           query="SELECT seq_id, frame, s.profile_idx, start, round(z, 6) AS score FROM scored s JOIN least USING (profile_idx) WHERE z >= need"))
 def match_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All windows of both strands within nine tenths of the highest score that a profile can reach; starts as in profile_scores."""
     ids, cube = P.to_cube(odds(spark, sf_dir), "ACGT")
-    return P.match_sites(both_strands(spark, sf_dir), "seq_id", "text", ids, cube, 0.9 * cube.max(axis=2).sum(axis=1), frame_col="frame")
+    out = P.match_sites(both_strands(spark, sf_dir), "seq_id", "text", ids, cube, 0.9 * cube.max(axis=2).sum(axis=1), frame_col="frame")
+    return out.withColumn("score", F.round("score", 6)).withColumnRenamed("id", "seq_id")
+
+
+# ---- losses and training of the seeded profiles, on tiles of both strands
+
+_TILE, _PER_STEP, _WIDTH = T.DEFAULTS["tile_size"], T.DEFAULTS["tiles_per_step"], T.DEFAULTS["k"]
+_SEEDED = """seeds AS (SELECT kmer, r AS profile FROM (SELECT kmer, n, rank() OVER (ORDER BY n DESC) AS k, row_number() OVER (ORDER BY n DESC, seen, kmer) AS r FROM greedy) WHERE (n >= 8 OR k <= 10) AND r <= 200),
+logits AS (SELECT profile AS profile_idx, CAST(pos AS INTEGER) AS pos, letter, freq + CASE WHEN pos >= 4 AND pos < 16 AND substr(kmer, CAST(pos - 4 + 1 AS BIGINT), 1) = letter THEN 4.0 ELSE 0.0 END AS value FROM seeds, range(20) t(pos), q)"""
+# tiles of both strands as texts of full length, their genome and step
+_TILED = f"""counted AS (SELECT *, CAST(coalesce(sum(nt) OVER (PARTITION BY species ORDER BY seq_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM (SELECT species, seq_id, seq, CAST(ceil(length(seq) / {_TILE}.0) AS BIGINT) AS nt FROM seqs)),
+cut AS (SELECT species, seq_id, frame, (before + t) // {_PER_STEP} AS step, substr(text, 1 + CASE WHEN frame = 0 THEN t * {_TILE} ELSE greatest(length(text) - (t + 1) * {_TILE}, 0) END,
+    CASE WHEN frame = 0 THEN {_TILE} ELSE length(text) - t * {_TILE} - greatest(length(text) - (t + 1) * {_TILE}, 0) END) AS tile
+    FROM (SELECT species, seq_id, 0 AS frame, seq AS text, before, nt FROM counted UNION ALL SELECT species, seq_id, 1, reverse(translate(seq, 'ACGTacgt', 'TGCAtgca')), before, nt FROM counted), LATERAL (SELECT unnest(range(nt)) AS t)),
+shape AS (SELECT species, step, count(*) AS have FROM cut GROUP BY ALL)"""
+
 
+def training_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.place(T.step_tiles(both_strands(spark, sf_dir), "species", "seq_id", "frame", "text", _TILE, _PER_STEP))
 
-@query(sql(DNA, query="""SELECT species, round(max(z * exp(z - peak)) / sum(exp(z - peak)), 6) AS top, round(max(peak), 6) AS peak FROM (SELECT species, z, max(z) OVER (PARTITION BY species) AS peak FROM (
-    SELECT species, (length(k) - length(replace(k, 'G', '')) + length(k) - length(replace(k, 'C', ''))) / 4.0 AS z FROM (SELECT species, unnest(list_transform(range(1, greatest(length(seq) - 10, 1)), lambda i: substr(seq, i, 12))) AS k FROM seqs))) GROUP BY species"""))
+
+def _seed_matrix(spark: SparkSession, sf_dir: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, logits, background) of the seeded profiles, at most 200 of 20 places."""
+    ids, cube = P.to_cube(_seeded(spark, sf_dir, T.DEFAULTS["U"]), "ACGT")
+    q = {r["letter"]: r["freq"] for r in background(spark, sf_dir).collect()}
+    return ids, cube, np.maximum([q[c] for c in "ACGT"], 1e-9)
+
+
+_STEP_LOSS = sql(
+    DNA, GREEDY, _Q, _SEEDED, _P, _R, _TILED,
+    _scan(20).replace("SELECT seq_id, species, 0 AS frame, seq AS text FROM seqs UNION ALL SELECT seq_id, species, 1, reverse(translate(seq, 'ACGTacgt', 'TGCAtgca')) FROM seqs", f"SELECT step AS seq_id, species, frame, rpad(tile, {_TILE}, 'N') AS text FROM cut"),
+    f"grown AS (SELECT species, seq_id AS step, profile_idx, max(z) AS best, sum(exp(z)) AS mass, max(z * exp(z)) AS num FROM scored GROUP BY ALL)",
+    f"filled AS (SELECT g.species, g.step, profile_idx, best, mass, num, ({2 * _PER_STEP} - have) * {_TILE - _WIDTH + 1} AS zeros FROM grown g JOIN shape s ON s.species = g.species AND s.step = g.step)",
+    query="SELECT species AS genome, step, profile_idx, round(CASE WHEN zeros > 0 THEN -greatest(num, 0) ELSE -num END / (mass + zeros), 6) + 0.0 AS loss, round(CASE WHEN zeros > 0 THEN greatest(best, 0) ELSE best END, 6) + 0.0 AS score FROM filled",
+)
+
+
+@query(_STEP_LOSS)
 def profile_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The loss term of a G/C profile over all 12-letter windows of each genome (gamma 1)."""
-    rows = dna(spark, sf_dir).select("species", F.explode(F.regexp_extract_all("seq", F.lit("(?s)(?=(.{12}))"), F.lit(1))).alias("k"))
-    z = (F.length(F.translate("k", "GC", "")) * -1 + 12) / 4.0
-    out = P.loss_parts(rows.select("species", z.alias("z")), ["species"], 1.0)
-    return out.select("species", F.round("top", 6).alias("top"), F.round("peak", 6).alias("peak"))
+    """Loss and best score of every seeded profile in every genome and step, empty slots counted as windows of score 0 (gamma 1)."""
+    ids, cube, q = _seed_matrix(spark, sf_dir)
+    odds_ = np.log(np.maximum(T._softmax(cube) / q, T.DEFAULTS["epsilon"]))
+    out = T.step_losses(training_tiles(spark, sf_dir), ids, odds_, _TILE, _PER_STEP, 2, 1.0)
+    return out.select("genome", "step", "profile_idx", (F.round("loss", 6) + 0.0).alias("loss"), (F.round("score", 6) + 0.0).alias("score"))
+
+
+@query(sql(DNA, _TILED, query="SELECT species AS genome, step, count(*) AS n_tiles, CAST(sum(length(tile)) AS BIGINT) AS n_letters, round(sum(count(*)) OVER (PARTITION BY step) / (14.0 * (SELECT count(DISTINCT species) FROM seqs)), 9) AS weight FROM cut GROUP BY species, step"))
+def step_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batches: tiles and letters of every genome in every step, and the share of the step's slots that hold a text."""
+    tiles = T.step_tiles(both_strands(spark, sf_dir), "species", "seq_id", "frame", "text", _TILE, _PER_STEP)
+    return tiles.groupBy("genome", "step").agg(F.count("*").alias("n_tiles"), F.sum(F.length("tile")).alias("n_letters"), F.round(F.max("weight"), 9).alias("weight"))
+
+
+# A public model of equal rates between four letters, after time 0.3.
+_EQUAL_STEP = P.smoothing_matrix(np.ones((4, 4)) - 4 * np.eye(4), 0.3)
+
+
+@query(sql(_LOGITS, _P, "a(letter, to_letter, w) AS (VALUES " + ", ".join(f"('{x}', '{y}', {_EQUAL_STEP[i, j]!r}::DOUBLE)".replace("np.float64(", "").replace("):", ":") for i, x in enumerate("ACGT") for j, y in enumerate("ACGT")) + ")",
+           query="SELECT profile_idx, pos, to_letter AS letter, round(sum(value * w), 6) AS value FROM p JOIN a USING (letter) GROUP BY ALL"))
+def smoothed_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letter shares after a substitution step of a continuous-time model."""
+    rows = [(x, y, float(_EQUAL_STEP[i, j])) for i, x in enumerate("ACGT") for j, y in enumerate("ACGT")]
+    return _rounded(P.smooth(P.softmax_rows(logits(spark, sf_dir)), spark.createDataFrame(rows, "letter string, to_letter string, p double")))
+
+
+@query()
+def random_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logits of 200 random profiles around the background."""
+    return P.random_logits(spark, background(spark, sf_dir), 200, _WIDTH, seed=1)
+
+
+@query()
+def sampled_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logits of 200 profiles seeded from places drawn from the texts of both strands."""
+    rows = both_strands(spark, sf_dir).withColumn("id", F.struct("seq_id", "frame"))
+    return P.sampled_logits(rows, "id", "text", background(spark, sf_dir), 200, _WIDTH, seed=1, rho=4.0)
 
 
 @query(sql(_LOGITS, _P, query="SELECT profile_idx, 'MOTIF profile' || profile_idx || chr(10) || 'letter-probability matrix: alength= 4 w= 16' || chr(10) || string_agg(line, chr(10) ORDER BY pos) || chr(10) AS block FROM (SELECT profile_idx, pos, string_agg(printf('%.6f', value), ' ' ORDER BY letter) AS line FROM p GROUP BY ALL) GROUP BY profile_idx"))
@@ -106,14 +189,32 @@ def meme_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meme_text(P.softmax_rows(logits(spark, sf_dir)))
 
 
+#: Reports come after a plateau of three epochs or eight in all here, so that a run ends within minutes; the data are never reduced.
+RUN = {"profile_plateau": 3, "max_epochs": 8, "n_best_profiles": 2, "lr_patience": 3}
+
+
+def _trained(spark: SparkSession, sf_dir: str) -> dict:
+    _, cube, q = _seed_matrix(spark, sf_dir)
+    if not len(cube):
+        return {"history": [], "reports": [], "sites": []}
+    return T.train(training_tiles(spark, sf_dir), cube, q, RUN)
+
+
 @query()
 def train_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """History of a short training of a model of 8 profiles, seeded by the commonest k-mers, on both strands of all DNA texts."""
-    ids, cube = P.to_cube(_seeded(spark, sf_dir, 8), "ACGT")
-    q = np.array([r["freq"] for r in background(spark, sf_dir).orderBy("letter").collect()])
-    rows = both_strands(spark, sf_dir).select("species", "text")
-    _, history = P.train(rows, "species", "text", cube, np.maximum(q, 1e-9), epochs=5)
-    return spark.createDataFrame([(h["epoch"], h["loss"], h["best"], h["rate"]) for h in history], "epoch int, loss double, best int, rate double")
+    """History of a run from the commonest k-mers to two reported profiles, on both strands of all DNA texts."""
+    history = _trained(spark, sf_dir)["history"]
+    return spark.createDataFrame([(h["epoch"], round(h["loss"], 6), h["best"], round(h["best_mean_loss"], 6), h["rate"]) for h in history], "epoch int, loss double, best int, best_mean_loss double, rate double")
+
+
+@query()
+def reported_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites of the reported profiles of the same run; those of a later report never lie in letters masked before."""
+    sites = _trained(spark, sf_dir)["sites"]
+    empty = spark.createDataFrame([], "genome string, seq bigint, frame int, tile_start bigint, tile_pos bigint, profile_idx bigint, score double, report int")
+    for s in sites:
+        empty = empty.unionByName(s)
+    return empty.select("report", "profile_idx", "genome", "seq", "frame", (F.col("tile_start") + F.col("tile_pos")).alias("start"), F.round("score", 6).alias("score"))
 
 
 @query()
