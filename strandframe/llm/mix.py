@@ -107,18 +107,26 @@ def _reached(sized: DataFrame, trial: dict[str, list[float]], caps: dict[str, in
     return {r[0]: list(r[1:]) for r in counted.groupBy("source").agg(*sums).collect()}
 
 
-def plan_mix(sized: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7) -> list[dict]:
-    """One record per source: its rate, its cap and whether it is too small for its share."""
+def plan_mix(sized: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 7, meet_shares: bool = False) -> list[dict]:
+    """One record per source: its rate, its cap and whether it is too small for its share.
+
+    With meet_shares the total is lowered until no source with documents is too small.
+    """
     wanted = targets.groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap")).where(F.col("source").isNotNull())
     rows = wanted.limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     have = {r["source"]: int(r["n"]) for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     total = sum(have.values()) if total is None else total
+    wanted = [(r["source"], max(r["share"] or 0.0, 0.0), max(r["cap"] or 0, 0), have.get(r["source"], 0)) for r in rows]
+    if meet_shares:
+        total = min([total, *(cap * n / share for _, share, cap, n in wanted if share > 0 and n > 0)])
     plan = []
-    for r in rows:
-        share, cap, n = max(r["share"] or 0.0, 0.0), max(r["cap"] or 0, 0), have.get(r["source"], 0)
-        plan.append({"source": r["source"], "share": share, "cap": cap, "size": n, "goal": share * total, "rate": rate_for_mean(share * total / n, cap) if n else 0.0})
+    for source, share, cap, n in wanted:
+        goal = share * total
+        if meet_shares and n and cap:
+            goal = min(goal, cap * n)  # the source that sets the total needs its cap in full, whatever the rounding
+        plan.append({"source": source, "share": share, "cap": cap, "size": n, "goal": goal, "rate": rate_for_mean(goal / n, cap) if n else 0.0, "too_small": share > 0 and share * total > cap * n * (1 + 1e-9)})
     open_ = {p["source"]: p for p in plan if 0 < p["rate"] < math.inf}
     width = 0.5
     for _ in range(3):
@@ -142,10 +150,10 @@ def mix(sized: DataFrame, plan: list[dict], seed: int = 7) -> DataFrame:
 
 
 def shares(sized: DataFrame, plan: list[dict], seed: int = 7) -> DataFrame:
-    """Per source: target and reached share, sizes, rate and whether it was too small."""
+    """Per source: target and reached share, sizes, rate and whether it was too small (one without documents always is)."""
     spark = sized.sparkSession
     facts = spark.createDataFrame(
-        [(p["source"], p["share"], p["cap"], p["size"], None if math.isinf(p["rate"]) else p["rate"], math.isinf(p["rate"])) for p in plan],
+        [(p["source"], p["share"], p["cap"], p["size"], None if math.isinf(p["rate"]) else p["rate"], p["too_small"]) for p in plan],
         "source string, target_share double, max_repeats int, available_tokens bigint, rate double, too_small boolean",
     )
     got = mix(sized, plan, seed).groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("c"), (F.max("copy_no") + 1).alias("m"))

@@ -24,18 +24,21 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
 
-def _sized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[dict]]:
+def _sized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, sf_dir, "mix_targets")
-    sized = mix.sized_documents(table(spark, sf_dir, "documents"), targets)
-    return sized, mix.plan_mix(sized, targets)
+    return mix.sized_documents(table(spark, sf_dir, "documents"), targets), targets
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix.mix(*_sized(spark, sf_dir))
+    sized, targets = _sized(spark, sf_dir)
+    return mix.mix(sized, mix.plan_mix(sized, targets))
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix.shares(*_sized(spark, sf_dir))
+    """Shares reached with the size of all listed sources as total, and with the greatest total at which every source with documents can meet its share."""
+    sized, targets = _sized(spark, sf_dir)
+    full, met = mix.plan_mix(sized, targets), mix.plan_mix(sized, targets, meet_shares=True)
+    return mix.shares(sized, full).withColumn("total", F.lit("all")).unionByName(mix.shares(sized, met).withColumn("total", F.lit("met")))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,11 +29,22 @@ def test_shares_caps_and_order(spark):
     assert most["hot"] == 1 and most["mid"] <= 4 and most["tiny"] == 5
     assert size["tiny"] == 5 * sized.where("source = 'tiny'").agg({"n_tokens": "sum"}).first()[0]
     report = {r["source"]: r for r in mix.shares(sized, plan).collect()}
-    assert report["tiny"]["too_small"] and not report["hot"]["too_small"] and report["absent"]["reached_tokens"] == 0
+    assert report["tiny"]["too_small"] and report["absent"]["too_small"] and not report["hot"]["too_small"] and report["absent"]["reached_tokens"] == 0
     assert math.isclose(sum(r["reached_share"] for r in report.values()), 1.0)
     assert sorted(map(tuple, out)) == sorted(map(tuple, mix.mix(sized, plan).collect()))
 
 
+def test_total_lowered_until_shares_are_met(spark):
+    targets = spark.createDataFrame([("hot", 0.6, 2), ("mid", 0.3, 4), ("tiny", 0.002, 50), ("absent", 0.098, 2)], TARGETS)
+    sized = mix.sized_documents(corpus(spark), targets)
+    plan = mix.plan_mix(sized, targets, meet_shares=True)
+    report = {r["source"]: r for r in mix.shares(sized, plan).collect()}
+    assert not any(report[s]["too_small"] for s in ("hot", "mid", "tiny")) and report["absent"]["too_small"]
+    for s in ("hot", "mid", "tiny"):  # what the absent source leaves over is shared in proportion
+        assert abs(report[s]["reached_share"] / (report[s]["target_share"] / 0.902) - 1) < 0.05
+    assert all(r["most_repeats"] <= r["max_repeats"] for r in report.values())
+
+
 def test_empty(spark):
     targets = spark.createDataFrame([("a", 1.0, 2)], TARGETS)
     sized = mix.sized_documents(corpus(spark).limit(0), targets)
