@@ -6,7 +6,14 @@ search expands the cheapest state first, keeps a hash set of visited states, and
 cheapest text within reach. The cost of a text is the implausibility of its neighbouring
 characters: minus the logarithm of how many distinct texts of the whole corpus hold each pair with
 a character beyond ASCII, smoothed by a prior over letter classes (script, case, symbols inside
-words, control signs). Words are searched one by one, so partly garbled texts are found too.
+words, control signs). Words are searched one by one, so partly garbled texts are found too; then
+the path that makes the words of a text most plausible together decides for each of them between
+that path, a repair of its own and none, since one misreading usually went over a whole text.
+
+Bounds of the search for one word: MAX_EXPANSIONS states are expanded, of paths of up to MAX_STEPS
+steps. A word without unnatural pairs never follows states dearer than itself (but for those out
+of UTF-8); of others all states are queued, and UPHILL_EXPANSIONS dearer ones are expanded. A word
+whose best remaining state could not become a better result even at no cost ends earlier.
 
 A garbled text must not vouch for itself: however often it is delivered it counts once, that one is
 taken out for the unnatural pairs of a word that has several of them, and where a word's bytes are valid UTF-8
@@ -19,15 +26,18 @@ mapInArrow with a bounded memo per task. Only the distinct texts beyond ASCII ar
 counts (of plain ones a hash), copies combined map-side; nothing is gathered but the table.
 
 A document is garbled if one of its words gains enough plausibility by leaving the state it is
-in. Where no path helps, it still is if it holds a replacement sign, or a word most of whose
+in, or if character references of a plain word stand for such signs. Where no path helps, it still
+is if it holds a replacement sign, or a word most of whose
 pairs are unnatural and all but unseen (bytes were lost); such places stay as they are.
 
-Defined results: null, empty and plain ASCII texts are never garbled; every input row gives one
-row; extra columns are ignored; an empty table gives an empty result.
+Defined results: null and empty texts are never garbled, plain ASCII ones only by their character
+references; every input row gives one row; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import html
 import math
@@ -54,7 +64,10 @@ STEP_COST = 0.5
 WILD_PAIRS, WILD_SHARE, WILD_PRIOR = 5, 2e-3, 1e-5
 #: Texts that an unnatural pair counts as seen in if only the judged text holds it.
 UNSEEN = 0.01
-MAX_EXPANSIONS = 12
+#: What a word gains by the operations that suit its text best; four times that against another repair of its own, where they suit at least four words.
+TOGETHER = 2.0
+#: Bounds of the search for one word: states expanded, those dearer than the start among them (only for words with unnatural pairs), and steps of a path.
+MAX_EXPANSIONS, UPHILL_EXPANSIONS, MAX_STEPS = 16, 3, 4
 MEMO_WORDS = 200_000
 
 # Charsets a text may have been read in, and those its bytes may really be in.
@@ -64,6 +77,10 @@ REALLY = ["utf_8", "cp1252", "mac_roman", "cp850", "cp437", "cp1251", "cp866", "
 # A word: a run of East Asian signs, or a run of anything else without ASCII blanks.
 EAST = "⺀-鿿가-힯豈-﫿＀-￯\U00020000-\U0003ffff"
 WORD = re.compile(f"[^\x00-\x20{EAST}]*[^\x00-\x7f{EAST}][^\x00-\x20{EAST}]*")
+# What stands between blanks and holds a sign beyond ASCII; tried only where such a stretch begins, so in linear time.
+TOKEN = re.compile("(?<![^\x00-\x20])[\x21-\x7f]*+[^\x00-\x7f][^\x00-\x20]*")
+# A word of plain letters that holds a character reference.
+REFERENCE = re.compile("[^\x00-\x20&]*(?:&(?:[A-Za-z][A-Za-z0-9]{1,31}|#[0-9]{2,7}|#[xX][0-9A-Fa-f]{2,6});[^\x00-\x20&]*)+")
 _DIGITS = re.compile("[0-9]")
 
 
@@ -181,6 +198,7 @@ class Plausibility:
     def __init__(self, counts: np.ndarray, docs: int):
         self.counts, self.docs = counts, docs
         self.memo: dict[tuple[str, str], float] = {}
+        self.before: dict[str, float] = {}
 
     def pair(self, a: str, b: str) -> float:
         got = self.memo.get((a, b))
@@ -199,10 +217,30 @@ class Plausibility:
         bad = sum(1 for a, b in pairs if _prior(a, b) <= WILD_PRIOR and 10 ** -self.pair(a, b) * (self.docs + PRIOR_DOCS) <= max(rare, 1))
         return bad >= WILD_PAIRS and bad >= 0.5 * len(pairs)
 
-    def cost(self, word: str, held: dict[tuple[str, str], float] | None = None) -> float:
-        padded = f" {word} "
-        pairs = [(a, b) for a, b in zip(padded, padded[1:]) if a > "\x7f" or b > "\x7f"]
-        return sum(self.pair(a, b) for a, b in pairs) + sum(_member(c) for c in word if c > "\u2fff") + (sum(held.get(p, 0.0) for p in pairs) if held else 0.0)
+    def cost(self, word: str, held: dict[tuple[str, str], float] | None = None, most: float = math.inf) -> float:
+        """Sum over the pairs of a word; infinite as soon as it exceeds `most`."""
+        total, a, memo = 0.0, " ", self.memo
+        for c in word + " ":
+            if a > "\x7f" or c > "\x7f":
+                got = memo.get((a, c))
+                total += self.pair(a, c) if got is None else got
+                if held and (a, c) in held:
+                    total += held[a, c]
+                if c > "\u2fff":
+                    total += _member(c)
+                if total > most:
+                    return math.inf
+            a = c
+        return total
+
+    def as_is(self, word: str) -> float:
+        """Cost of a word where it stands, its own text taken out; remembered."""
+        got = self.before.get(word)
+        if got is None:
+            if len(self.before) > MEMO_WORDS:
+                self.before.clear()
+            got = self.before[word] = self.cost(word, self.held(word)[0])
+        return got
 
     def held(self, word: str) -> tuple[dict[tuple[str, str], float], dict[tuple[str, str], float]]:
         """By how much each unnatural pair of a word costs more: without the word's own text, and seen in one other text at most.
@@ -273,21 +311,41 @@ def _in_part(word: str, table: dict[int, int]) -> str | None:
         return None
 
 
+@lru_cache(maxsize=65536)
+def _cover(c: str) -> tuple[int, int, int]:
+    """Bits of the charsets in READ_AS that hold a sign, that hold it as a byte leading a UTF-8 sequence, and as a continuing one."""
+    held = lead = follow = 0
+    for i, read in enumerate(READ_AS):
+        if (b := _bytes_of(read).get(ord(c))) is not None:
+            held |= 1 << i
+            lead |= (0xC2 <= b < 0xF5) << i
+            follow |= (0x80 <= b < 0xC0) << i
+    return held, lead, follow
+
+
 def neighbours(word: str, scorer: Plausibility) -> Iterator[tuple[str, str, bool]]:
     """(operation, text, whether UTF-8 bytes came out) of every edge that leaves a state."""
     if "&" in word and (plain := html.unescape(word)) != word:
         yield "unescape", plain, False
-    points = [ord(c) for c in word]
-    for read in READ_AS:
-        table = _bytes_of(read)
-        try:
-            raw = bytes([table[p] for p in points])
-        except KeyError:
-            if (text := _in_part(word, table)) is not None:
+    whole, utf8, before = -1, 0, 0
+    for c in word:
+        held, lead, follow = _cover(c)
+        whole &= held
+        utf8 |= before & follow  # some sequence may be UTF-8 only if a leading byte meets a continuing one
+        before = lead
+    seen: set[bytes] = set()
+    for i, read in enumerate(READ_AS):
+        table, bit = _bytes_of(read), 1 << i
+        if not whole & bit:
+            if utf8 & bit and (text := _in_part(word, table)) is not None:
                 yield f"{read}>utf_8", text, True
             continue
+        raw = codecs.charmap_encode(word, "strict", table)[0]
+        if raw in seen:  # another charset gave the same bytes
+            continue
+        seen.add(raw)
         for real in REALLY:
-            if real == read:
+            if real == read or real == "utf_8" and not utf8 & bit and 0xC3 not in raw:
                 continue
             try:
                 text = raw.decode(real)
@@ -307,13 +365,21 @@ def _need(op: str, state: str, utf8: bool, steps: int = 0) -> float:
 
 
 def search(word: str, scorer: Plausibility) -> tuple[str, str, float, float]:
-    """(cheapest text within reach, path of operations, gain, gain that its path needs)."""
+    """(cheapest text within reach, path of operations, gain, gain that its path needs).
+
+    The queue gives the cheapest state first. A state dearer than the start may still lead to a
+    cheap text: of a word with unnatural pairs all states are queued, and up to UPHILL_EXPANSIONS
+    dearer ones are expanded; of a natural word dearer states lead nowhere that could be believed, and
+    only those that came out of UTF-8 are queued. The search ends early where the least cost that
+    a further step could reach would no longer be a better result.
+    """
     held = ({}, *scorer.held(word))  # after several steps, after the first one, and once UTF-8 came out
     starts = tuple(scorer.cost(word, h) for h in held)
+    unnatural = bool(held[1])
     best = (word, "", 0.0, 0.0)
     queue: list[tuple[float, int, str, str, float, int]] = [(starts[0], 0, word, "", 0.0, 0)]
     visited = {hash(word)}
-    order = 0
+    order = uphill = 0
     for _ in range(MAX_EXPANSIONS):
         if not queue:
             break
@@ -323,26 +389,103 @@ def search(word: str, scorer: Plausibility) -> tuple[str, str, float, float]:
             best = (state, path, gain, need)
         elif path and not best[1] and gain > best[2]:
             best = (state, path, gain, need)
-        if path.count("|") >= 3:
+        steps = path.count("|") + bool(path)
+        if steps >= MAX_STEPS:
             continue
+        if path and max(starts) - STEP_COST * steps - need <= best[2] - best[3]:  # even a text that costs nothing would be no better
+            continue
+        if path and gain < 0:
+            if was != 2:
+                if uphill >= UPHILL_EXPANSIONS:
+                    continue
+                uphill += 1
         for op, text, utf8 in neighbours(state, scorer):
             if (h := hash(text)) in visited:
                 continue
             visited.add(h)
             now = 2 if utf8 or was == 2 else 0 if path else 1
-            price = scorer.cost(text, held[now]) + STEP_COST * (path.count("|") + bool(path))
+            price = scorer.cost(text, held[now], math.inf if unnatural or utf8 else starts[now]) + STEP_COST * steps
             order += 1
-            if price < starts[now] or utf8:  # UTF-8 seldom comes out by chance, so even an unlikely text is worth a look
-                heapq.heappush(queue, (price, order, text, f"{path}|{op}" if path else op, max(need, _need(op, state, utf8, path.count("|") + bool(path))), now))
+            if price < starts[now] or utf8 or unnatural and price < math.inf:
+                heapq.heappush(queue, (price, order, text, f"{path}|{op}" if path else op, max(need, _need(op, state, utf8, steps)), now))
     if (not best[1] or best[2] < best[3]) and scorer.wild(word):
         return word, best[1] if best[1] and best[2] >= GAIN_WORD else "wild", best[2], -1.0
     return best
 
 
+@lru_cache(maxsize=200_000)
+def walk(word: str, path: str) -> str | None:
+    """The text at the end of a path from a word; None where the path does not lead."""
+    for op in path.split("|"):
+        if op == "unescape":
+            word = html.unescape(word)
+            continue
+        read, real = op.split(">")
+        if real == "lost":
+            return None
+        table = _bytes_of(read)
+        try:
+            word = codecs.charmap_encode(word, "strict", table)[0].decode(real)
+        except UnicodeEncodeError:
+            part = _in_part(word, table) if real == "utf_8" else None
+            if part is None:
+                return None
+            word = part
+        except UnicodeDecodeError:
+            return None
+    return word
+
+
+def coherent(words: list[str], paths: set[str], scorer: Plausibility) -> tuple[str, dict[str, str]]:
+    """(the path that makes the words of a text most plausible together, what it makes of each word that it improves)."""
+    best: tuple[float, str, dict[str, str]] = (0.0, "", {})
+    before = {w: scorer.as_is(w) for w in words}
+    for path in sorted(paths):
+        total, texts = 0.0, {}
+        for w in words:
+            text = walk(w, path)
+            # almost any bytes are some East Asian signs: each of them must gain
+            need = _need(path, w, False) if path.endswith((">euc_jp", ">cp932")) else 0.0
+            if text is not None and text != w and (gain := before[w] - scorer.cost(text) - need) > -TOGETHER:
+                total += max(gain, 0.0)
+                texts[w] = text
+        if total > best[0]:
+            best = (total, path, texts)
+    return best[1], best[2]
+
+
+def repair_references(text: str, scorer: Plausibility, memo: dict[str, tuple[str, str, float, float]]) -> tuple[str, set[str]]:
+    """(text, operations): words whose character references stand for garbled signs, repaired; other references stay as they are."""
+    ops: set[str] = set()
+
+    def fix(m: re.Match) -> str:
+        plain = html.unescape(m[0])
+        if plain.isascii() or not m[0].isascii():
+            return m[0]
+        got = memo.get(plain)
+        if got is None:
+            got = memo[plain] = search(plain, scorer)
+        state, path, gain, need = got
+        if not path or path == "wild" or need < 0 or gain < need or ">" not in path:
+            return m[0]
+        ops.add(f"unescape|{path}")
+        return state
+
+    return REFERENCE.sub(fix, text), ops
+
+
 def repair_text(text: str, scorer: Plausibility, memo: dict[str, tuple[str, str, float, float]]) -> tuple[bool, str, str]:
     """(garbled, restored text, operations used)."""
+    if "&" in text and REFERENCE.search(text):
+        text, ops = repair_references(text, scorer, memo)
+        if ops:
+            _, text, more = repair_text(text, scorer, memo)
+            return True, text, ", ".join(sorted({*ops, *more.split(", ")} - {""}))
+    if text.isascii():
+        return False, text, ""
     found: dict[str, tuple[str, str, float, float]] = {}
-    for word in WORD.findall(text):
+    # a word never spans blanks: only the distinct tokens beyond ASCII are looked into
+    for word in {w for t in set(TOKEN.findall(text)) for w in WORD.findall(t)}:
         key = _DIGITS.sub("0", word)
         if key not in found:
             if (got := memo.get(key)) is None:
@@ -350,11 +493,11 @@ def repair_text(text: str, scorer: Plausibility, memo: dict[str, tuple[str, str,
                     memo.clear()
                 got = memo[key] = search(key, scorer)
             found[key] = got
-    together: dict[str, list[float]] = {}
+    gains: dict[str, list[float]] = {}
     for _, path, gain, _ in found.values():
         if path and gain >= GAIN_WORD:
-            together.setdefault(path, []).append(gain)
-    trusted = {p for p, gains in together.items() if p not in ("wild", "unescape") and len(gains) > 1 and sum(gains) >= GAIN_TEXT}
+            gains.setdefault(path, []).append(gain)
+    trusted = {p for p, x in gains.items() if p not in ("wild", "unescape") and len(x) > 1 and sum(x) >= GAIN_TEXT}
     ops: set[str] = set()
     fixes: set[str] = set()
     for key, (_, path, gain, need) in found.items():
@@ -363,15 +506,22 @@ def repair_text(text: str, scorer: Plausibility, memo: dict[str, tuple[str, str,
         elif path and path != "unescape" and (gain >= need or path in trusted and gain >= GAIN_WORD):
             ops.add(path)
             fixes.add(key)
+    if not fixes:
+        return bool(ops) or "\ufffd" in text, text, ", ".join(sorted(ops))
+
+    # one misreading usually went over the whole text: the path that suits its words best together decides for each of them
+    shared, improved = coherent(list(found), {found[k][1] for k in fixes}, scorer)
+    against = TOGETHER * min(len(improved), 4)
 
     def fix(m: re.Match) -> str:
         key = _DIGITS.sub("0", m[0])
+        if key in improved and (key not in fixes or found[key][1] == shared or scorer.cost(improved[key]) - against <= scorer.cost(found[key][0])):
+            return walk(m[0], shared) or m[0]
         if key not in fixes:
             return m[0]
         return found[key][0] if key == m[0] else search(m[0], scorer)[0]
 
-    restored = WORD.sub(fix, text) if fixes else text
-    return bool(ops) or "\ufffd" in text, restored, ", ".join(sorted(ops))
+    return True, WORD.sub(fix, text), ", ".join(sorted(ops))
 
 
 def repair(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -385,7 +535,7 @@ def repair(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         for batch in batches:
             for i, j in byte_slices(batch.column(1), 1_000_000):
                 part = batch.slice(i, j - i)
-                out = [repair_text(t, scorer, memo) if t and not t.isascii() else (False, t, "") for t in part.column(1).to_pylist()]
+                out = [repair_text(t, scorer, memo) if t and (not t.isascii() or "&" in t) else (False, t, "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([x[0] for x in out], pa.bool_()), pa.array([x[1] is not None and "\ufffd" in x[1] for x in out], pa.bool_()), pa.array([x[2] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())],
                     ["id", "garbled", "lost", "operations", "restored"],

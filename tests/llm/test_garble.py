@@ -62,7 +62,7 @@ def test_finds_all_and_only_garbled(repaired):
 def test_restores(repaired):
     got, truth, *_ = repaired
     same = [i for i, t in truth.items() if got[i]["restored"] == t]
-    assert len(same) >= len(truth) - 2, [(got[i]["restored"], t) for i, t in truth.items() if i not in same]
+    assert len(same) == len(truth), [(got[i]["restored"], t) for i, t in truth.items() if i not in same]
 
 
 def test_empty_table(spark):
@@ -72,9 +72,10 @@ def test_empty_table(spark):
 
 def test_long_text(spark):
     text = "schließlich " * 100_000 + "schlieÃŸlich"
-    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
-    row = garble.repair(df).first()
-    assert len(row["restored"]) in (len(text), len(text) - 1)
+    around = [(10 + i, f"{t} {i:c<{i % 7}}") for i, t in enumerate(list(CLEAN.values()) * 10)]
+    df = spark.createDataFrame([(1, text), *around], "doc_id bigint, text string")
+    row = garble.repair(df).where("doc_id = 1").first()
+    assert row["restored"] == "schließlich " * 100_000 + "schließlich"
 
 
 def test_copies_do_not_vouch_for_themselves(spark):
@@ -89,3 +90,30 @@ def test_copies_do_not_vouch_for_themselves(spark):
     got = {r["doc_id"]: r for r in garble.repair(spark.createDataFrame(rows, "doc_id bigint, text string")).where("garbled").collect()}
     assert set(got) == {*same, *changed, *lost}
     assert all(got[i]["restored"].startswith("für") for i in (*same, *changed))
+
+
+def test_restoration_of_planted_texts(spark, tmp_path):
+    """Whole texts, misread in many ways into a corpus of clean ones."""
+    from tests.llm import restoration
+
+    rng = random.Random(11)
+    rows, i = [], 0
+    for _ in range(160):
+        for text in CLEAN.values():
+            words = text.split(" ")
+            rng.shuffle(words)
+            rows.append((i, " ".join(words)))
+            i += 1
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = restoration.measure(spark, str(tmp_path), 4)
+    assert sum(n for _, n, _, _ in got) >= 50
+    assert sum(found for _, _, found, _ in got) >= 0.95 * sum(n for _, n, _, _ in got), got
+    assert sum(same for *_, same in got) >= 0.9 * sum(n for _, n, _, _ in got), got
+
+
+def test_references_that_stand_for_garbled_signs(spark):
+    good = [(i, f"{t} {i:c<{i % 7}}") for i, t in enumerate(list(CLEAN.values()) * 10)]
+    rows = [(900, "f&Atilde;&frac14;r &amp; more"), (901, "f&uuml;r &amp; &lt;b&gt;"), (902, "a &amp; b; c & d"), (903, "&#195;&#188;ber")]
+    got = {r["doc_id"]: r for r in garble.repair(spark.createDataFrame(good + rows, "doc_id bigint, text string")).collect()}
+    assert got[900]["garbled"] and got[900]["restored"] == "für &amp; more" and got[903]["restored"] == "über"
+    assert not any(got[i]["garbled"] for i in (901, 902)) and all(got[i]["restored"] == dict(rows)[i] for i in (901, 902))
