@@ -21,8 +21,9 @@ these count as seen in one other text at most, so that slightly changed copies d
 other either.
 
 Two passes over the corpus: pair counts go into a table of fixed size (PAIRS hashed cells, one
-partial row per cell and task, combined map-side), which is broadcast; then the search runs in
-mapInArrow with a bounded memo per task. Only the distinct texts beyond ASCII are shuffled for the
+partial row per cell and task, combined map-side), which is broadcast, as are the results of the
+COMMON_WORDS commonest words, searched once; then the rest is searched in mapInArrow with a
+bounded memo per task. Only the distinct texts beyond ASCII are shuffled for the
 counts (of plain ones a hash), copies combined map-side; nothing is gathered but the table.
 
 A document is garbled if one of its words gains enough plausibility by leaving the state it is
@@ -43,6 +44,7 @@ import html
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -52,6 +54,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.functions.arrowtext import byte_slices
+from strandframe.session import shared_checkpoint
 
 PAIRS = 1 << 18
 PRIOR_DOCS = 2.0
@@ -69,6 +72,8 @@ TOGETHER = 2.0
 #: Bounds of the search for one word: states expanded, those dearer than the start among them (only for words with unnatural pairs), and steps of a path.
 MAX_EXPANSIONS, UPHILL_EXPANSIONS, MAX_STEPS = 16, 3, 4
 MEMO_WORDS = 200_000
+#: Words searched once for all tasks and broadcast with their results (the commonest ones, none longer than LONG); a task searches the others itself.
+COMMON_WORDS, LONG = 1 << 15, 64
 
 # Charsets a text may have been read in, and those its bytes may really be in.
 READ_AS = ["cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp866", "koi8_r", "iso8859_2", "iso8859_5", "cp1253", "cp1254", "cp775", "cp852"]
@@ -111,34 +116,59 @@ def _cell(a: int, b: int) -> int:
     return ((h ^ (h >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF) >> 14
 
 
-def pair_counts(df: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
-    """(distinct texts per hashed pair, distinct texts); PAIRS cells at most reach the driver."""
+def tally(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """cell, word, n: distinct texts per hashed pair (cell -1: all distinct texts), and of the commonest words of each task.
+
+    At most PAIRS cells and COMMON_WORDS words leave a task. The word counts only choose what is
+    searched ahead; a task that meets too many words forgets the rarest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, docs = np.zeros(PAIRS, np.int64), 0
+        total, docs, words = np.zeros(PAIRS, np.int64), 0, Counter()
         for batch in batches:
             column = batch.column(0)
             for i, j in byte_slices(column, 1_000_000):
                 texts = [t for t in column.slice(i, j - i).to_pylist() if t]
                 docs += len(texts)
-                texts = [f" {t} " for t in texts if not t.isascii()]
+                texts = [t for t in texts if not t.isascii()]
                 if not texts:
                     continue
+                for t in texts:
+                    words.update({w for x in set(TOKEN.findall(t)) for w in WORD.findall(x) if len(w) <= LONG})
+                if len(words) > MEMO_WORDS:
+                    words = Counter(dict(words.most_common(COMMON_WORDS)))
+                texts = [f" {t} " for t in texts]
                 codes = _classes(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32))
                 doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
                 a, b = codes[:-1], codes[1:]
                 ok = ((a > 127) | (b > 127)) & (doc[:-1] == doc[1:])
                 total += np.bincount(np.unique(doc[:-1][ok] * PAIRS + _cells(a[ok], b[ok])) % PAIRS, minlength=PAIRS)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-1], at))), pa.array(np.concatenate(([docs], total[at])))], ["cell", "n"])
+        keys: Counter = Counter()
+        for w, n in words.items():
+            keys[_DIGITS.sub("0", w)] += n
+        common = keys.most_common(COMMON_WORDS)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([pa.array([-1]), pa.array(at), pa.nulls(len(common), pa.int64())]), pa.concat_arrays([pa.nulls(len(at) + 1, pa.string()), pa.array([w for w, _ in common], pa.string())]),
+                pa.concat_arrays([pa.array([docs]), pa.array(total[at]), pa.array([n for _, n in common], pa.int64())]),
+            ],
+            ["cell", "word", "n"],
+        )
 
     text = F.col(text_col).cast("string")
     once = df.where(text != "").select(F.when(F.octet_length(text) == F.length(text), F.hex(F.xxhash64(text))).otherwise(text).alias("text")).distinct()
-    rows = once.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    # a few rows, read twice: written to the shared folder
+    return shared_checkpoint(once.mapInArrow(run, "cell bigint, word string, n bigint").groupBy("cell", "word").agg(F.sum("n").alias("n")))
+
+
+def pair_counts(tallied: DataFrame) -> tuple[np.ndarray, int]:
+    """(distinct texts per hashed pair, distinct texts); PAIRS cells at most reach the driver."""
+    rows = tallied.where(F.col("cell").isNotNull()).select("cell", "n").toArrow()
+    cell, n = rows["cell"].to_numpy(), rows["n"].to_numpy()
     counts = np.zeros(PAIRS, np.int64)
-    real = rows[rows["cell"] >= 0]
-    counts[real["cell"].to_numpy()] = real["n"].to_numpy()
-    return counts, int(rows.loc[rows["cell"] < 0, "n"].sum())
+    counts[cell[cell >= 0]] = n[cell >= 0]
+    return counts, int(n[cell < 0].sum())
 
 
 @lru_cache(maxsize=65536)
@@ -527,11 +557,23 @@ def repair_text(text: str, scorer: Plausibility, memo: dict[str, tuple[str, str,
 def repair(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, garbled, lost (a replacement sign remains), operations and restored text of every row."""
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(pair_counts(df, text_col))
+    tallied = tally(df, text_col)
+    shared = spark.sparkContext.broadcast(pair_counts(tallied))
+
+    def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Plausibility(*shared.value)
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            found = [search(w, scorer) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64(), pa.float64())))], ["word", "state", "path", "gain", "need"])
+
+    # the commonest words, spread over the tasks; what comes back is bounded by COMMON_WORDS and LONG
+    common = tallied.where(F.col("word").isNotNull()).orderBy(F.desc("n"), "word").limit(COMMON_WORDS).select("word").repartition(max(spark.sparkContext.defaultParallelism, 1))
+    searched = common.mapInArrow(ahead, "word string, state string, path string, gain double, need double").toArrow()
+    known = spark.sparkContext.broadcast(dict(zip(searched["word"].to_pylist(), zip(*(searched[c].to_pylist() for c in ("state", "path", "gain", "need"))))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, docs = shared.value
-        scorer, memo = Plausibility(counts, docs), {}
+        scorer, memo = Plausibility(*shared.value), dict(known.value)
         for batch in batches:
             for i, j in byte_slices(batch.column(1), 1_000_000):
                 part = batch.slice(i, j - i)
