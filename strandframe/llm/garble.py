@@ -89,6 +89,12 @@ REFERENCE = re.compile("[^\x00-\x20&]*(?:&(?:[A-Za-z][A-Za-z0-9]{1,31}|#[0-9]{2,
 _DIGITS = re.compile("[0-9]")
 
 
+@lru_cache(maxsize=200_000)
+def _keys(token: str) -> tuple[str, ...]:
+    """The words of what stands between blanks, their digits folded into one."""
+    return tuple({_DIGITS.sub("0", w) for w in WORD.findall(token)})
+
+
 def _classes(codes: np.ndarray) -> np.ndarray:
     """Code points folded for counting: digits, blanks and large scripts into one sign each."""
     x = codes.astype(np.int64)
@@ -134,7 +140,7 @@ def tally(df: DataFrame, text_col: str = "text") -> DataFrame:
                 if not texts:
                     continue
                 for t in texts:
-                    words.update({w for x in set(TOKEN.findall(t)) for w in WORD.findall(x) if len(w) <= LONG})
+                    words.update({w for x in set(TOKEN.findall(t)) for w in _keys(x) if len(w) <= LONG})
                 if len(words) > MEMO_WORDS:
                     words = Counter(dict(words.most_common(COMMON_WORDS)))
                 texts = [f" {t} " for t in texts]
@@ -144,10 +150,7 @@ def tally(df: DataFrame, text_col: str = "text") -> DataFrame:
                 ok = ((a > 127) | (b > 127)) & (doc[:-1] == doc[1:])
                 total += np.bincount(np.unique(doc[:-1][ok] * PAIRS + _cells(a[ok], b[ok])) % PAIRS, minlength=PAIRS)
         at = np.flatnonzero(total)
-        keys: Counter = Counter()
-        for w, n in words.items():
-            keys[_DIGITS.sub("0", w)] += n
-        common = keys.most_common(COMMON_WORDS)
+        common = words.most_common(COMMON_WORDS)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.concat_arrays([pa.array([-1]), pa.array(at), pa.nulls(len(common), pa.int64())]), pa.concat_arrays([pa.nulls(len(at) + 1, pa.string()), pa.array([w for w, _ in common], pa.string())]),
@@ -515,14 +518,12 @@ def repair_text(text: str, scorer: Plausibility, memo: dict[str, tuple[str, str,
         return False, text, ""
     found: dict[str, tuple[str, str, float, float]] = {}
     # a word never spans blanks: only the distinct tokens beyond ASCII are looked into
-    for word in {w for t in set(TOKEN.findall(text)) for w in WORD.findall(t)}:
-        key = _DIGITS.sub("0", word)
-        if key not in found:
-            if (got := memo.get(key)) is None:
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                got = memo[key] = search(key, scorer)
-            found[key] = got
+    for key in {w for t in set(TOKEN.findall(text)) for w in _keys(t)}:
+        if (got := memo.get(key)) is None:
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
+            got = memo[key] = search(key, scorer)
+        found[key] = got
     gains: dict[str, list[float]] = {}
     for _, path, gain, _ in found.values():
         if path and gain >= GAIN_WORD:
