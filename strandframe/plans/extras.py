@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandframe.functions import udtf
 from strandframe.operators.nested import flatten_evaluations
 from strandframe.plans.base import DNA, dna, sql
+from strandframe.plans.problems import _NESTED
 from strandframe.session import table
 from strandframe.sources.formats import fasta_record
 
@@ -91,13 +92,15 @@ def genome_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(table(spark, sf_dir, "genomes").select("species"), "species", "left_semi").groupBy("species").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_NESTED + "SELECT eval_id, count(*) AS n_occs, count(*) FILTER (NOT EXISTS (SELECT 1 FROM sequences q WHERE q.sequence_id = t.ident)) AS n_unknown FROM tree t WHERE node NOT LIKE '%].genomic_elements[%' AND node NOT LIKE '%].homology[%' GROUP BY eval_id")
 def occurrence_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occurrences of evaluations whose sequence is unknown, per evaluation."""
+    """Occurrences of each evaluation, and how many of them lie on unknown sequences."""
     once = table(spark, sf_dir, "training_evaluations").where(F.col("payload").isNotNull()).select("eval_id", "payload").dropDuplicates()
     occ = flatten_evaluations(once).where("kind = 'occurrence'").select("eval_id", "node", F.col("ident").alias("sequence_id"))
-    lost = occ.join(table(spark, sf_dir, "sequences").select("sequence_id"), "sequence_id", "left_anti")
-    return lost.groupBy("eval_id").agg(F.count("*").alias("n_unknown"))
+    known = table(spark, sf_dir, "sequences").select("sequence_id").distinct().withColumn("known", F.lit(True))
+    # counted per id first, so that a hot sequence meets the join once per evaluation
+    per = occ.groupBy("eval_id", "sequence_id").agg(F.count("*").alias("n")).join(known, "sequence_id", "left")
+    return per.groupBy("eval_id").agg(F.sum("n").alias("n_occs"), F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("n_unknown"))
 
 
 @query(sql(DNA, query="SELECT seq_id, i AS tile_ord, i * 500 AS tile_start, length(substr(seq, i * 500 + 1, 500)) AS n FROM seqs, LATERAL (SELECT unnest(range(CAST(ceil(length(seq) / 500.0) AS BIGINT))) AS i)"))

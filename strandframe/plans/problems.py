@@ -119,6 +119,42 @@ members AS (
 )
 """
 
+def _open(x: str) -> str:
+    """A JSON value; one that arrives as JSON text counts as that value."""
+    text = f"TRY_CAST({x} ->> '$' AS JSON)"
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' AND json_type({text}) IN ('ARRAY', 'OBJECT') THEN {text} ELSE {x} END"
+
+
+def _items(x: str) -> str:
+    return f"CASE WHEN json_type({x}) = 'ARRAY' THEN json_extract({x}, '$[*]') ELSE [] END"
+
+
+# one level after the other, by the engine's own JSON functions
+_NESTED = f"""WITH RECURSIVE runs AS (
+    SELECT eval_id, {_open("CAST(payload AS JSON)")} AS p FROM (SELECT DISTINCT eval_id, payload FROM training_evaluations WHERE json_valid(payload))
+), listed AS (SELECT eval_id, {_open("(p -> 'links')")} AS l, {_open("(p -> 'motifs')")} AS m FROM runs),
+links AS (SELECT eval_id, i - 1 AS i, {_open("x")} AS x FROM (SELECT eval_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM (SELECT eval_id, {_items("l")} AS ls FROM listed))),
+groups AS (SELECT eval_id, i, j - 1 AS j, {_open("x")} AS x FROM (SELECT eval_id, i, unnest(gs) AS x, generate_subscripts(gs, 1) AS j FROM (SELECT eval_id, i, {_items("o")} AS gs FROM (SELECT eval_id, i, {_open("(x -> 'occs')")} AS o FROM links WHERE json_type(x) = 'OBJECT')))),
+members AS (
+    SELECT eval_id, i, j, k - 1 AS k, {_open("x")} AS x FROM (SELECT eval_id, i, j, unnest(ms) AS x, generate_subscripts(ms, 1) AS k FROM (
+        SELECT eval_id, i, j, CASE WHEN json_type(x) = 'OBJECT' OR json_type(x) = 'ARRAY' AND json_type({_open("(x -> 0)")}) = 'VARCHAR' THEN [x] ELSE {_items("x")} END AS ms FROM groups))
+), occs AS (
+    SELECT eval_id, 'links[' || i || '].occs[' || j || '][' || k || ']' AS node, CASE json_type(x) WHEN 'ARRAY' THEN x -> 0 WHEN 'OBJECT' THEN {_open("(x -> 'sequence')")} END AS s FROM members WHERE json_type(x) IN ('ARRAY', 'OBJECT')
+), tree AS (
+    SELECT eval_id, node, CASE json_type(s) WHEN 'OBJECT' THEN s ->> 'id' WHEN 'VARCHAR' THEN s ->> '$' END AS ident, CASE WHEN json_type(s) = 'OBJECT' THEN s END AS s FROM occs
+    UNION ALL
+    SELECT eval_id, node, x ->> 'id', x FROM (SELECT eval_id, node || '.' || key || '[' || (n - 1) || ']' AS node, {_open("x")} AS x FROM (
+        SELECT eval_id, node, key, unnest(cs) AS x, generate_subscripts(cs, 1) AS n FROM (SELECT eval_id, node, key, {_items("c")} AS cs FROM (SELECT eval_id, node, key, {_open("(s -> key)")} AS c FROM tree, (VALUES ('genomic_elements'), ('homology')) v(key) WHERE s IS NOT NULL)))) WHERE json_type(x) = 'OBJECT'
+), cubes AS (
+    SELECT eval_id, {_open("(m -> 'motifs')")} AS c, list_transform({_items("al")}, lambda a: a ->> '$') AS letters FROM (SELECT eval_id, m, {_open("(m -> 'alphabet')")} AS al FROM listed WHERE json_type(m) = 'OBJECT')
+), cells AS (
+    SELECT eval_id, pos, letters[l] AS letter, l, unnest(vs) AS v, generate_subscripts(vs, 1) - 1 AS u FROM (
+        SELECT eval_id, pos, letters, l, CASE WHEN json_type(row_) = 'ARRAY' THEN CAST(row_ AS DOUBLE[]) END AS vs FROM (
+            SELECT eval_id, pos, letters, unnest(rows_) AS row_, generate_subscripts(rows_, 1) AS l FROM (
+                SELECT eval_id, letters, pos, {_items("x")} AS rows_ FROM (SELECT eval_id, letters, unnest(ps) AS x, generate_subscripts(ps, 1) AS pos FROM (SELECT eval_id, letters, {_items("c")} AS ps FROM cubes)))))
+), best AS (SELECT eval_id, u, pos, arg_max(letter, (v, -l)) FILTER (v IS NOT NULL) AS letter FROM cells GROUP BY ALL)
+"""
+
 ORACLE = {
     "p2_found": _SPANS + "SELECT * FROM spans",
     "p2_coverage": _SPANS
@@ -149,6 +185,7 @@ UNION ALL
 SELECT 'attribute', feature_id, CAST(pos AS INTEGER), tag,
     trim(CASE WHEN regexp_full_match(v, '".*"') THEN replace(replace(substr(v, 2, length(v) - 2), '\"', '"'), '""', '"')
         WHEN regexp_full_match(v, '''.*''') THEN replace(replace(substr(v, 2, length(v) - 2), '\''', ''''), '''''', '''') ELSE v END) FROM tagged""",
+    "p5_found": _NESTED + "SELECT eval_id, node, ident FROM tree UNION ALL SELECT eval_id, 'motifs[' || u || ']', string_agg(letter, '' ORDER BY pos) FROM best GROUP BY eval_id, u",
     "p4_found": _LINES + "SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
     "p4_loaded": _LINES + """SELECT line_id, file_format, c[1] AS chrom, CAST(c[CASE WHEN bed THEN 2 ELSE 4 END] AS BIGINT) AS start_pos, CAST(c[CASE WHEN bed THEN 3 ELSE 5 END] AS BIGINT) AS end_pos,
     c[CASE WHEN bed THEN 6 ELSE 7 END] AS strand, TRY_CAST(c[CASE WHEN bed THEN 5 ELSE 6 END] AS DOUBLE) AS score, CASE WHEN bed THEN CAST(c[10] AS BIGINT) END AS block_count,
