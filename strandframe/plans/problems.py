@@ -139,11 +139,11 @@ members AS (
     SELECT eval_id, i, j, k - 1 AS k, {_open("x")} AS x FROM (SELECT eval_id, i, j, unnest(ms) AS x, generate_subscripts(ms, 1) AS k FROM (
         SELECT eval_id, i, j, CASE WHEN json_type(x) = 'OBJECT' OR json_type(x) = 'ARRAY' AND json_type({_open("(x -> 0)")}) = 'VARCHAR' THEN [x] ELSE {_items("x")} END AS ms FROM groups))
 ), occs AS (
-    SELECT eval_id, 'links[' || i || '].occs[' || j || '][' || k || ']' AS node, CASE json_type(x) WHEN 'ARRAY' THEN x -> 0 WHEN 'OBJECT' THEN {_open("(x -> 'sequence')")} END AS s FROM members WHERE json_type(x) IN ('ARRAY', 'OBJECT')
+    SELECT eval_id, 'links[' || i || ']' AS parent, 'links[' || i || '].occs[' || j || '][' || k || ']' AS node, k AS ord, x, CASE json_type(x) WHEN 'ARRAY' THEN x -> 0 WHEN 'OBJECT' THEN {_open("(x -> 'sequence')")} END AS s FROM members WHERE json_type(x) IN ('ARRAY', 'OBJECT')
 ), tree AS (
-    SELECT eval_id, node, CASE json_type(s) WHEN 'OBJECT' THEN s ->> 'id' WHEN 'VARCHAR' THEN s ->> '$' END AS ident, CASE WHEN json_type(s) = 'OBJECT' THEN s END AS s FROM occs
+    SELECT eval_id, parent, node, ord, x AS occ, CASE json_type(s) WHEN 'OBJECT' THEN s ->> 'id' WHEN 'VARCHAR' THEN s ->> '$' END AS ident, CASE WHEN json_type(s) = 'OBJECT' THEN s END AS s FROM occs
     UNION ALL
-    SELECT eval_id, node, x ->> 'id', x FROM (SELECT eval_id, node || '.' || key || '[' || (n - 1) || ']' AS node, {_open("x")} AS x FROM (
+    SELECT eval_id, parent, node, ord, NULL, x ->> 'id', x FROM (SELECT eval_id, node AS parent, node || '.' || key || '[' || (n - 1) || ']' AS node, n - 1 AS ord, {_open("x")} AS x FROM (
         SELECT eval_id, node, key, unnest(cs) AS x, generate_subscripts(cs, 1) AS n FROM (SELECT eval_id, node, key, {_items("c")} AS cs FROM (SELECT eval_id, node, key, {_open("(s -> key)")} AS c FROM tree, (VALUES ('genomic_elements'), ('homology')) v(key) WHERE s IS NOT NULL)))) WHERE json_type(x) = 'OBJECT'
 ), cubes AS (
     SELECT eval_id, {_open("(m -> 'motifs')")} AS c, list_transform({_items("al")}, lambda a: a ->> '$') AS letters FROM (SELECT eval_id, m, {_open("(m -> 'alphabet')")} AS al FROM listed WHERE json_type(m) = 'OBJECT')
@@ -186,6 +186,18 @@ SELECT 'attribute', feature_id, CAST(pos AS INTEGER), tag,
     trim(CASE WHEN regexp_full_match(v, '".*"') THEN replace(replace(substr(v, 2, length(v) - 2), '\"', '"'), '""', '"')
         WHEN regexp_full_match(v, '''.*''') THEN replace(replace(substr(v, 2, length(v) - 2), '\''', ''''), '''''', '''') ELSE v END) FROM tagged""",
     "p5_found": _NESTED + "SELECT eval_id, node, ident FROM tree UNION ALL SELECT eval_id, 'motifs[' || u || ']', string_agg(letter, '' ORDER BY pos) FROM best GROUP BY eval_id, u",
+    "p5_linked": _NESTED + """, described AS (
+    SELECT eval_id, CASE WHEN occ IS NULL THEN 'sequence' ELSE 'occurrence' END AS kind, node, parent, ident, ord, s ->> 'species' AS species, s ->> 'chromosome' AS chromosome,
+        CASE WHEN occ IS NULL THEN s ->> 'strand' WHEN json_type(occ) = 'ARRAY' THEN occ ->> 2 ELSE occ ->> 'strand' END AS strand, TRY_CAST(s ->> 'genome_start' AS BIGINT) AS genome_start, TRY_CAST(s ->> 'genome_end' AS BIGINT) AS genome_end,
+        TRY_CAST(CASE WHEN json_type(occ) = 'ARRAY' THEN occ ->> 1 ELSE occ ->> 'position' END AS BIGINT) AS position, TRY_CAST(CASE WHEN json_type(occ) = 'ARRAY' THEN occ ->> 3 ELSE occ ->> 'sitelen' END AS BIGINT) AS sitelen,
+        TRY_CAST(CASE WHEN json_type(occ) = 'ARRAY' THEN occ ->> 4 ELSE occ ->> 'profileIdx' END AS BIGINT) AS profile_idx FROM tree
+), plain AS (
+    SELECT eval_id, 'run' AS kind, '$' AS node, NULL AS parent, p ->> 'runID' AS ident, 0 AS ord, TRY_CAST(p ->> 'nlinks' AS BIGINT) AS n_links, TRY_CAST(p ->> 'nlinksThatHit' AS BIGINT) AS n_links_hit, TRY_CAST(p ->> 'trainingTime' AS DOUBLE) AS training_time FROM runs
+    UNION ALL SELECT eval_id, 'link', 'links[' || i || ']', '$', x ->> 'classname', i, NULL, NULL, NULL FROM links WHERE json_type(x) = 'OBJECT'
+    UNION ALL SELECT eval_id, 'motif', 'motifs[' || u || ']', '$', string_agg(letter, '' ORDER BY pos), u, NULL, NULL, NULL FROM best GROUP BY eval_id, u
+)
+SELECT eval_id, kind, node, parent, ident, CAST(ord AS INTEGER) AS ord, species, chromosome, strand, genome_start, genome_end, position, sitelen, profile_idx, CAST(NULL AS BIGINT) AS n_links, CAST(NULL AS BIGINT) AS n_links_hit, CAST(NULL AS DOUBLE) AS training_time FROM described
+UNION ALL SELECT eval_id, kind, node, parent, ident, CAST(ord AS INTEGER), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, n_links, n_links_hit, training_time FROM plain""",
     "p4_found": _LINES + "SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
     "p4_loaded": _LINES + """SELECT line_id, file_format, c[1] AS chrom, CAST(c[CASE WHEN bed THEN 2 ELSE 4 END] AS BIGINT) AS start_pos, CAST(c[CASE WHEN bed THEN 3 ELSE 5 END] AS BIGINT) AS end_pos,
     c[CASE WHEN bed THEN 6 ELSE 7 END] AS strand, TRY_CAST(c[CASE WHEN bed THEN 5 ELSE 6 END] AS DOUBLE) AS score, CASE WHEN bed THEN CAST(c[10] AS BIGINT) END AS block_count,
