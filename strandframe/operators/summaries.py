@@ -29,6 +29,23 @@ def plateaus(history: DataFrame, run: str, order: list[str], best: str, loss: st
     return history.withColumn("plateau", full & (F.min(best).over(w) == F.max(best).over(w)) & (F.stddev_pop(loss).over(w) <= deviation))
 
 
+def learning_rates(history: DataFrame, run: str, order: list[str], loss: str, start: float, factor: float, patience: int) -> DataFrame:
+    """Adds rate: it falls by `factor` at an epoch whose last `patience` losses are all no better than the one before them, and not again within `patience` epochs.
+
+    Which epochs might bring a fall is a window; only these few per run are folded, in the JVM.
+    """
+    w = Window.partitionBy(run).orderBy(*order)
+    rows = history.withColumn("_i", F.row_number().over(w) - 1)
+    stuck = F.min(loss).over(w.rowsBetween(1 - patience, 0)) >= F.lag(loss, patience).over(w)
+    rows = rows.withColumn("_stuck", F.coalesce(stuck, F.lit(False)))
+    may = rows.where("_stuck").groupBy(run).agg(F.array_sort(F.collect_list("_i")).alias("_may"))
+    none = F.array().cast("array<int>")
+    falls = F.aggregate("_may", none, lambda acc, x: F.when((F.size(acc) == 0) | (x - F.try_element_at(acc, F.lit(-1)) >= patience), F.concat(acc, F.array(x))).otherwise(acc))
+    rows = rows.join(may.select(run, falls.alias("_falls")), run, "left")
+    n = F.coalesce(F.size(F.filter("_falls", lambda x: x <= F.col("_i"))), F.lit(0))
+    return rows.withColumn("rate", start * F.pow(F.lit(factor), n)).drop("_i", "_stuck", "_falls")
+
+
 def grid(spark: SparkSession, parameters: dict[str, list]) -> DataFrame:
     """All combinations of a few short parameter lists, exploded one after the other from one row."""
     out = spark.range(1).select()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandframe.functions import udtf
+from strandframe.operators import kmers as K
+from strandframe.operators import summaries as R
 from strandframe.operators.nested import flatten_evaluations
 from strandframe.plans.base import DNA, dna, sql
 from strandframe.plans.problems import _NESTED
@@ -30,11 +31,13 @@ def query(text: str | None = None):
 _FIRST = "CASE WHEN species = 'Homo_sapiens' THEN 0 ELSE 1 END"
 
 
-@query(sql(DNA, query=f"SELECT chromosome, row_number() OVER (PARTITION BY chromosome ORDER BY {_FIRST}, species, seq_id, seq) AS place, '>' || species || chr(10) || upper(seq) AS record FROM seqs"))
+@query(sql(DNA, query=f"SELECT chromosome, row_number() OVER (PARTITION BY chromosome ORDER BY {_FIRST}, species, seq_id) AS place, '>' || species || chr(10) || upper(seq) AS record FROM seqs"))
 def human_first_fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Combined records per group, the first species ahead, unmasked."""
-    w = Window.partitionBy("chromosome").orderBy(F.when(F.col("species") == "Homo_sapiens", 0).otherwise(1), "species", "seq_id", "seq")
-    return dna(spark, sf_dir).select("chromosome", F.row_number().over(w).cast("bigint").alias("place"), fasta_record(F.col("species"), F.upper("seq")).alias("record"))
+    """Combined records per group, the first species ahead, unmasked; places are found without the letters."""
+    rows = dna(spark, sf_dir)
+    narrow = rows.select("chromosome", F.when(F.col("species") == "Homo_sapiens", 0).otherwise(1).alias("first"), "species", "seq_id", F.lit(1).cast("bigint").alias("one"))
+    placed = K.running_total(narrow, ["chromosome"], ["first", "species", "seq_id"], "one").select("seq_id", (F.col("before") + 1).alias("place"))
+    return rows.join(placed, "seq_id").select("chromosome", "place", fasta_record(F.col("species"), F.upper("seq")).alias("record"))
 
 
 @query(sql(DNA, query="SELECT seq_id, rpad(species, 20, ' ') || seq AS line, repeat('.', 9) || '|' AS ruler_unit, length(seq) // 10 AS ruler_units, CASE WHEN regexp_matches(substr(seq, length(seq) // 4 + 1, length(seq) // 2 - length(seq) // 4), '[acgtnN]') THEN '_lowercase' ELSE '' END AS suffix FROM seqs"))
@@ -111,19 +114,14 @@ def tiles_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT seq_id, CAST(tile_ord AS BIGINT) AS tile_ord, CAST(tile_start AS BIGINT) AS tile_start, CAST(length(tile) AS BIGINT) AS n FROM _dna_texts, LATERAL tiles(seq, 500)")
 
 
-@query()
+@query("""WITH RECURSIVE rows AS (SELECT user_id, event_id, value, row_number() OVER w - 1 AS i, min(value) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS recent, lag(value, 5) OVER w AS before
+        FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    walk AS (
+        SELECT user_id, event_id, i, CAST(2.0 AS DOUBLE) AS rate, -1 AS rest FROM rows WHERE i = 0
+        UNION ALL
+        SELECT r.user_id, r.event_id, r.i, CASE WHEN w.rest <= 1 AND r.recent >= r.before THEN w.rate * 0.75 ELSE w.rate END, CASE WHEN w.rest <= 1 AND r.recent >= r.before THEN 5 ELSE w.rest - 1 END FROM walk w JOIN rows r ON r.user_id = w.user_id AND r.i = w.i + 1)
+    SELECT event_id, round(rate, 9) AS rate FROM walk""")
 def learning_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rate schedule of each run: a fall after 5 epochs without a better loss, then 5 epochs of rest (a fold per run)."""
-
-    def fold(part: pa.Table) -> pa.Table:
-        part = part.sort_by([("ts", "ascending"), ("event_id", "ascending")])
-        losses, rate, rest, out = part["value"].to_pylist(), 2.0, 0, []
-        for i in range(len(losses)):
-            rest -= 1
-            if rest <= 0 and i >= 5 and min(losses[i - 4 : i + 1]) >= losses[i - 5]:
-                rate, rest = rate * 0.75, 5
-            out.append(rate)
-        return pa.table({"event_id": part["event_id"], "rate": pa.array(out, pa.float64())})
-
+    """Rate schedule of each run: a fall after 5 epochs without a better loss, then 5 epochs of rest."""
     rows = table(spark, sf_dir, "events").where(F.col("value").isNotNull() & F.col("user_id").isNotNull()).select("user_id", "ts", "event_id", "value")
-    return rows.groupBy("user_id").applyInArrow(fold, "event_id bigint, rate double")
+    return R.learning_rates(rows, "user_id", ["ts", "event_id"], "value", start=2.0, factor=0.75, patience=5).select("event_id", F.round("rate", 9).alias("rate"))
