@@ -35,3 +35,13 @@ def read_exchangeabilities(path: str, order: str, wanted: str | None = None) ->
             at += 1
     letters = wanted or order
     return [(a, b, rate[a, b]) for a in letters for b in letters]
+
+
+def read_frequencies(path: str, order: str) -> dict[str, float]:
+    """Letter frequencies of the row that follows the rates in such a file, normed to a sum of 1; even ones where the row is missing."""
+    n = len(order)
+    numbers = [float(x) for x in Path(path).read_text().split()][n * (n - 1) // 2 :]
+    if len(numbers) < n:
+        return {c: 1 / n for c in order}
+    total = sum(numbers[:n])
+    return {c: x / total for c, x in zip(order, numbers)}

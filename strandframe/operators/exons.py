@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.functions.seq import anchors
@@ -69,3 +69,10 @@ def validate_liftover(hits: DataFrame, exon_strand: str = "home_strand", exon_le
         .otherwise("ok")
     )
     return rows.select("item", verdict.alias("verdict"), "start", "stop")
+
+
+def parse_directory(path) -> dict[str, Column]:
+    """chromosome, start and stop of an exon folder such as .../exon_chr1_120_180/...; null where a path holds none."""
+    pattern = r"(?:^|/)exon_([^/]+)_([0-9]+)_([0-9]+)(?:/|$)"
+    part = lambda i: F.nullif(F.regexp_extract(path, pattern, i), F.lit(""))
+    return {"chromosome": part(1), "start": part(2).cast("bigint"), "stop": part(3).cast("bigint")}

@@ -60,6 +60,17 @@ def expand_links(occ: DataFrame, most: int = 100) -> DataFrame:
     return sets.select("profile", F.explode(product).alias("members"), F.lit(None).cast("bigint").alias("skipped")).unionByName(skipped)
 
 
+def link_records(occ: DataFrame, width: int) -> DataFrame:
+    """profile, record: each profile's occurrences (profile, species, seq_id, sequence_id, pos) as the JSON of a multi-link, species and places in order."""
+    told = F.concat(F.lit("["), F.to_json(F.struct(F.col("sequence_id").alias("x"))), F.lit("]"))
+    quoted = F.regexp_extract(told, r"(?s)\{\"x\":(.*)\}", 1)
+    text = F.concat(F.lit("["), quoted, F.lit(", "), F.col("pos").cast("string"), F.lit(f', "+", {width}, '), F.col("profile").cast("string"), F.lit("]"))
+    groups = occ.groupBy("profile", "species").agg(F.array_sort(F.collect_list(F.struct("seq_id", "pos", text.alias("t")))).alias("g"))
+    ordered = groups.select("profile", "species", F.concat(F.lit("["), F.array_join(F.transform("g", lambda x: x["t"]), ", "), F.lit("]")).alias("g"))
+    sets = ordered.groupBy("profile").agg(F.array_sort(F.collect_list(F.struct("species", "g"))).alias("s"))
+    return sets.select("profile", F.concat(F.lit('{"occs": ['), F.array_join(F.transform("s", lambda x: x["g"]), ", "), F.lit('], "singleProfile": true, "classname": "MultiLink"}')).alias("record"))
+
+
 def align(members: DataFrame, texts: DataFrame, width: int, amino: bool = False) -> DataFrame:
     """link, line_no, line: the letters under each member of a link in order, reverse ones turned, each with its sequence id and range.
 
