@@ -76,7 +76,7 @@ QUERIES = {"p2_found": p2_found, "p2_coverage": p2_coverage, "p3_found": p3_foun
 
 _SPANS = """
 WITH rows AS (
-    SELECT gtf_file, seqname, strand, start_pos AS s, end_pos AS e FROM gtf_features
+    SELECT DISTINCT gtf_file, seqname, strand, start_pos AS s, end_pos AS e FROM gtf_features
     WHERE gtf_file IS NOT NULL AND seqname IS NOT NULL AND strand IN ('+', '-') AND start_pos IS NOT NULL AND end_pos >= start_pos
 ), seen AS (
     SELECT *, max(e) OVER (PARTITION BY gtf_file, seqname, strand ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM rows
