@@ -2,7 +2,8 @@
 
 Method: every interval becomes an event with a row-specific session length, and Spark's
 session_window merges overlapping sessions natively. To keep a hot entity out of a single
-task, sessions are formed per (entity, coordinate bin of the interval's start); the bins are
+task, sessions are formed per (entity, coordinate bin of the interval's start); a bin with more
+than DENSE rows is halved until its parts hold about as many. The bins are
 then stitched by running maxima over one summary row per bin, and touching periods and gaps
 are derived with lag/lead inside the bin.
 
@@ -24,20 +25,41 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandframe.session import measured
+
+
+#: Rows of one entity that a coordinate bin holds before it is divided.
+DENSE = 1 << 22
+
+
+def divided(rows: DataFrame, keys: list[str], width: int, dense: int) -> DataFrame:
+    """Adds _bin, the begin of the row's bin: of the given width, or of a power of two less where rows lie densely.
+
+    A narrow count finds the dense bins; there are at most rows / dense of them, so they are
+    measured and broadcast.
+    """
+    coarse = rows.withColumn("_bin", F.floor(F.col("_s") / F.lit(width)).cast("bigint") * width)
+    full = coarse.groupBy(*keys, "_bin").agg(F.count("*").alias("_n")).where(F.col("_n") > dense)
+    parts = F.least(F.ceil(F.log2(F.col("_n") / dense)), F.lit(width.bit_length() - 1)).cast("int")
+    full = full.select(*keys, "_bin", parts.alias("_halvings"))
+    fine = F.floor((F.col("_s") - F.col("_bin")) / F.pow(F.lit(2.0), F.lit(width.bit_length() - 1) - F.col("_halvings")))
+    begin = F.col("_bin") + (fine * F.pow(F.lit(2.0), F.lit(width.bit_length() - 1) - F.col("_halvings"))).cast("bigint")
+    return coarse.join(measured(full), [*keys, "_bin"], "left").withColumn("_bin", F.when(F.col("_halvings").isNull(), F.col("_bin")).otherwise(begin)).drop("_halvings")
+
 
 def periods_and_gaps(
-    df: DataFrame, entity: list[str], start: str, end: str, bin_width: int = 1 << 20, from_name: str = "from_pos", to_name: str = "to_pos"
+    df: DataFrame, entity: list[str], start: str, end: str, bin_width: int = 1 << 20, dense: int = DENSE, from_name: str = "from_pos", to_name: str = "to_pos"
 ) -> DataFrame:
     """entity columns, kind ('period' or 'gap'), first and last position (both included).
 
     Positions are closed integers [start, end]. One position is one microsecond on the
     session axis; a session ends where its last position ends, so that touching intervals
-    meet. bin_width bounds the number of disjoint periods one task can hold.
+    meet. bin_width, a power of two, bounds the number of disjoint periods one task can hold.
     """
     keys = [f"_k{i}" for i in range(len(entity))]
     rows = df.select(*[F.col(c).alias(k) for c, k in zip(entity, keys)], F.col(start).cast("bigint").alias("_s"), F.col(end).cast("bigint").alias("_e"))
     usable: list[Column] = [F.col(k).isNotNull() for k in keys] + [F.col("_s").isNotNull(), F.col("_e") >= F.col("_s")]
-    rows = rows.where(reduce(lambda a, b: a & b, usable)).withColumn("_bin", F.floor(F.col("_s") / F.lit(bin_width)).cast("bigint"))
+    rows = divided(rows.where(reduce(lambda a, b: a & b, usable)), keys, bin_width, dense)
     # the join below would infer this on one side only, and the two sides would no longer share their exchange
     rows = rows.where(F.col("_bin").isNotNull())
 

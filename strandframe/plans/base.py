@@ -6,21 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.functions.seq import parse_browser_id
-from strandframe.session import table
+from strandframe.session import measured, table
 
 
 def once(df: DataFrame, id_col: str, arrival: str = "loaded_at") -> DataFrame:
     """Re-delivered rows once: of the rows of one id the earliest arrival, ties by their place in the files.
 
     The texts do not move: a narrow scan finds the ids that came more than once and their first
-    row; the few ids are joined to the rows by broadcast where the planner measures them small
-    enough (spark.sql.adaptive.autoBroadcastJoinThreshold), by a shuffle beyond that.
+    row; these are measured and, up to a bound, broadcast (see session.measured).
     """
     at = F.col(arrival) if arrival in df.columns else F.lit(None).cast("timestamp")
     rank = F.struct(at.alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     ranked = df.withColumn("_rank", rank)
     again = ranked.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n"), F.min("_rank").alias("_first")).where("_n > 1").drop("_n")
-    kept = ranked.join(again, F.col(id_col).eqNullSafe(F.col("_id")), "left").where(F.col("_first").isNull() | (F.col("_rank") == F.col("_first")))
+    kept = ranked.join(measured(again), F.col(id_col).eqNullSafe(F.col("_id")), "left").where(F.col("_first").isNull() | (F.col("_rank") == F.col("_first")))
     return kept.drop("_rank", "_id", "_first")
 
 

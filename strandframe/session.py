@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,3 +38,26 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared checkpoint folder, for files that another step reads."""
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def read_bytes(df: DataFrame) -> int:
+    """Size of the files that a plan reads, known at planning time."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+#: Rows that a side measured for a broadcast may have.
+BROADCAST_ROWS = 500_000
+
+
+def measured(df: DataFrame) -> DataFrame:
+    """A side of a join, for a broadcast if its measured size allows.
+
+    If all that it reads is below the planner's broadcast threshold, the planner sees to it.
+    Otherwise the side is computed once, written to the shared checkpoint folder and counted: up
+    to BROADCAST_ROWS it is broadcast, beyond that the join shuffles both sides.
+    """
+    if read_bytes(df) <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold():
+        return df
+    fixed = shared_checkpoint(df)
+    return F.broadcast(fixed) if fixed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else fixed

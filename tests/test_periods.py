@@ -20,10 +20,10 @@ def brute(rows):
     return out
 
 
-def run(spark, rows, width):
+def run(spark, rows, width, **more):
     data = [(*r[:5], "x", 0, "y") for r in rows]
     df = spark.createDataFrame(data, SCHEMA)
-    got = [tuple(r) for r in periods_and_gaps(df, ["gtf_file", "seqname", "strand"], "start_pos", "end_pos", bin_width=width).collect()]
+    got = [tuple(r) for r in periods_and_gaps(df, ["gtf_file", "seqname", "strand"], "start_pos", "end_pos", bin_width=width, **more).collect()]
     assert len(got) == len(set(got))
     return set(got)
 
@@ -39,6 +39,13 @@ def test_random_against_brute_force(spark):
         assert run(spark, rows, width) == brute(rows)
 
 
+def test_dense_bins_are_divided(spark):
+    rng = random.Random(6)
+    rows = [("a", "c", "+", s, s + rng.randrange(4)) for s in (rng.choice([rng.randrange(64), rng.randrange(10_000)]) for _ in range(800))]
+    for dense in (1, 7, 60):
+        assert run(spark, rows, 256, dense=dense) == brute(rows)
+
+
 def test_touching_nested_and_long_over_many_bins(spark):
     rows = [("f", "c", "+", 1, 1000), ("f", "c", "+", 5, 6), ("f", "c", "+", 990, 995), ("f", "c", "+", 1001, 1001), ("f", "c", "+", 1003, 1003), ("f", "c", "-", 7, 7)]
     assert run(spark, rows, 10) == {("f", "c", "+", "period", 1, 1001), ("f", "c", "+", "gap", 1002, 1002), ("f", "c", "+", "period", 1003, 1003), ("f", "c", "-", "period", 7, 7)}
