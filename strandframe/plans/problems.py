@@ -9,6 +9,7 @@ from strandframe.operators.nested import flatten_evaluations
 from strandframe.operators.packed import split_packed
 from strandframe.operators.periods import periods_and_gaps
 from strandframe.operators.rejects import load_lines
+from strandframe.plans.base import once
 from strandframe.session import table
 
 ENTITY = ["gtf_file", "seqname", "strand"]
@@ -29,20 +30,15 @@ def p2_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _once(df: DataFrame, *columns: str) -> DataFrame:
-    """Re-delivered rows once: they agree in everything but the arrival."""
-    return df.select(*columns).dropDuplicates()
-
-
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = _once(table(spark, sf_dir, "bed_transcripts"), "bed_id", "block_sizes", "block_starts")
-    tags = _once(table(spark, sf_dir, "gtf_features").where(F.col("attribute") != ""), "feature_id", "attribute")
+    lists = once(table(spark, sf_dir, "bed_transcripts"), "bed_id")
+    tags = once(table(spark, sf_dir, "gtf_features").where(F.col("attribute") != ""), "feature_id")
     return split_packed(lists, "bed_id", {"block_sizes": "values", "block_starts": "values"}).unionByName(split_packed(tags, "feature_id", {"attribute": "tagged"}))
 
 
 def p3_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each tag occurs, and with how many values at most in one row."""
-    tags = _once(table(spark, sf_dir, "gtf_features").where(F.col("attribute") != ""), "feature_id", "attribute")
+    tags = once(table(spark, sf_dir, "gtf_features").where(F.col("attribute") != ""), "feature_id")
     rows = split_packed(tags, "feature_id", {"attribute": "tagged"})
     per_row = rows.groupBy("tag", "row_id").agg(F.count("*").alias("n"))
     return per_row.groupBy("tag").agg(F.sum("n").alias("n_values"), F.count("*").alias("n_rows"), F.max("n").alias("most_in_a_row"))
@@ -60,7 +56,7 @@ def p4_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flatten_evaluations(_once(table(spark, sf_dir, "training_evaluations").where(F.col("payload").isNotNull()), "eval_id", "payload"))
+    return flatten_evaluations(once(table(spark, sf_dir, "training_evaluations").where(F.col("payload").isNotNull()), "eval_id"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
