@@ -16,7 +16,7 @@ def once(df: DataFrame, id_col: str, arrival: str = "loaded_at") -> DataFrame:
     row; these are measured and, up to a bound, broadcast (see session.measured).
     """
     at = F.col(arrival) if arrival in df.columns else F.lit(None).cast("timestamp")
-    rank = F.struct(at.alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rank = F.struct(at.alias("at"), F.xxhash64(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").alias("row"))
     ranked = df.withColumn("_rank", rank)
     again = ranked.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n"), F.min("_rank").alias("_first")).where("_n > 1").drop("_n")
     kept = ranked.join(measured(again), F.col(id_col).eqNullSafe(F.col("_id")), "left").where(F.col("_first").isNull() | (F.col("_rank") == F.col("_first")))
