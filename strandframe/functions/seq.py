@@ -58,11 +58,12 @@ def unmask_short_runs(seq: Column, longest: int) -> Column:
     return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[a-z]") & (F.length(r) <= longest), F.upper(r)).otherwise(r)), "")
 
 
-def softmask(seq: Column, start: Column, length: Column) -> Column:
-    """Lower-cases `length` letters from `start` on, clipped at the end."""
+def softmask(seq: Column, start: Column, length: Column, amino: bool = False) -> Column:
+    """Lower-cases `length` letters from `start` on, clipped at the end; stops of amino acids become blanks there."""
     n = F.greatest(F.least(length, F.length(seq) - start), F.lit(0)).cast("int")
     start = start.cast("int")
-    return F.concat(F.substring(seq, F.lit(1), start), F.lower(F.substring(seq, start + 1, n)), F.substring(seq, start + n + 1, F.length(seq)))
+    part = F.lower(F.substring(seq, start + 1, n))
+    return F.concat(F.substring(seq, F.lit(1), start), F.translate(part, "*", " ") if amino else part, F.substring(seq, start + n + 1, F.length(seq)))
 
 
 def browser_id(species: Column, chromosome: Column, start: Column, end: Column) -> Column:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.functions.seq import browser_id
+from strandframe.functions.seq import softmask
+from strandframe.operators import datasets as D
+from strandframe.operators import kmers as K
 from strandframe.operators import links as L
 from strandframe.operators import profiles as P
 from strandframe.plans.annotations import _SEEDS, occurrences
-from strandframe.plans.base import DNA, FEATURES, TRANSCRIPTS, dna, features, sql, transcripts
+from strandframe.plans.base import DNA, FEATURES, TRANSCRIPTS, dna, features, once, sql, transcripts
 from strandframe.plans.models import _LOGITS, _P, logits
 from strandframe.session import scratch_path, table
 from strandframe.sources import formats, records
@@ -159,3 +161,92 @@ def exon_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dna(spark, sf_dir).where(~F.col("chromosome").contains("/")).select("seq_id", name.alias("name"))
     part = parse_directory(F.concat(F.lit("/data/"), F.col("name"), F.lit("/part")))
     return rows.select("seq_id", "name", part["chromosome"].alias("chromosome"), part["start"].alias("exon_start"), part["stop"].alias("exon_stop"))
+
+
+# ---- datasets of exons: each chromosome's middle parts stand for an exon and its lifted ranges
+
+_LIFTED = "lifted AS (SELECT chromosome AS item, seq_id, species, chromosome, g_start, seq, g_start + length(seq) // 8 AS a, g_start + length(seq) * 7 // 8 AS b, seq_id % 2 = 1 AS r FROM seqs)"
+_CUT = """cut AS (SELECT item, species, seq_id, species || ':' || chromosome || ':' || format('{:,}', a2) || '-' || format('{:,}', b2) AS id, CASE WHEN r THEN '-' ELSE '+' END AS strand, a2 AS genome_start, b2 AS genome_end,
+    CASE WHEN r THEN reverse(translate(t, 'ACGTacgtNWSMKRYBDHVNZ ', 'TGCAtgcaNNNNNNNNNNNNN ')) ELSE t END AS seq FROM (
+    SELECT *, substr(seq, CAST(a2 - g_start + 1 AS BIGINT), CAST(b2 - a2 AS BIGINT)) AS t FROM (SELECT *, a + CASE WHEN r THEN 6 ELSE 4 END AS a2, b - CASE WHEN r THEN 4 ELSE 6 END AS b2 FROM lifted) WHERE a < b AND a2 < b2)
+    WHERE item IN (SELECT item FROM lifted WHERE species = 'Homo_sapiens' AND a + 10 < b))"""
+
+
+def _lifted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    texts = dna(spark, sf_dir)
+    a, b = F.col("g_start") + F.expr("length(seq) div 8"), F.col("g_start") + F.expr("length(seq) * 7 div 8")
+    # each text holds its own range; the item keeps the text apart where texts of a species overlap
+    keyed = texts.withColumn("chromosome", F.concat_ws("/", "chromosome", F.col("seq_id").cast("string")))
+    return keyed.select(F.substring_index("chromosome", "/", 1).alias("item"), "species", "chromosome", a.alias("start"), b.alias("stop"), (F.col("seq_id") % 2 == 1).alias("on_reverse")), keyed
+
+
+@query(sql(DNA, _LIFTED, _CUT, query="SELECT item, species, seq_id, strand, genome_start, genome_end, array_to_string(list_transform(regexp_extract_all(seq, '[a-z]+|[^a-z]+'), lambda r: CASE WHEN regexp_matches(r, '^[a-z]') AND length(r) <= 20 THEN upper(r) ELSE r END), '') AS seq FROM cut"))
+def exon_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lifted ranges cut from the texts that hold them, oriented, stripped and with short soft-masked runs unmasked."""
+    lifted, texts = _lifted(spark, sf_dir)
+    out = D.exon_sequences(lifted, texts, "Homo_sapiens", cut_left=4, cut_right=6, short_runs=20)
+    number = F.regexp_extract("id", "/([0-9]+):", 1).cast("bigint")
+    return out.select("item", "species", number.alias("seq_id"), "strand", "genome_start", "genome_end", "seq")
+
+
+@query(sql(DNA, _LIFTED, _CUT, query="SELECT item, count(DISTINCT species) AS n_species, count(*) AS n, bool_or(species = 'Homo_sapiens') AS has_home, CAST(sum(length(seq)) AS BIGINT) AS letters FROM cut GROUP BY item"))
+def exon_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each exon's dataset as JSON, read back: its species, home first, and its letters."""
+    lifted, texts = _lifted(spark, sf_dir)
+    sets = D.exon_records(D.exon_sequences(lifted, texts, "Homo_sapiens", cut_left=4, cut_right=6), "Homo_sapiens")
+    rows = records.flatten_sequences(sets, "item", "record")
+    return rows.groupBy(F.col("file").alias("item")).agg(
+        F.count_distinct("species").alias("n_species"), F.count("*").alias("n"), F.bool_or((F.col("node") == "$[0]") & (F.col("species") == "Homo_sapiens")).alias("has_home"), F.sum(F.length("sequence")).alias("letters")
+    )
+
+
+@query(sql(DNA, query="SELECT seq_id AS item, CASE WHEN seq_id % 7 = 0 THEN 'missing' WHEN seq_id % 5 = 0 THEN 'moved' ELSE 'same' END AS verdict FROM seqs WHERE species = 'Homo_sapiens'"))
+def self_liftover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The home species lifted onto itself, with faults by id."""
+    home = dna(spark, sf_dir).where(F.col("species") == "Homo_sapiens").select(F.col("seq_id").alias("item"), "chromosome", F.col("g_start").alias("start"), (F.col("g_start") + F.length("seq")).alias("stop"))
+    back = home.where(F.col("item") % 7 != 0).withColumn("stop", F.col("stop") + F.when(F.col("item") % 5 == 0, 3).otherwise(0))
+    return D.self_liftover(home, back)
+
+
+def _annotation_sql(name: str) -> str:
+    from strandframe.plans import annotations
+
+    return annotations.ORACLE[name]
+
+
+@query(_annotation_sql("exon_stats"))
+def exon_stats_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics per exon, written as CSV with semicolons and read back."""
+    from strandframe.plans.annotations import exon_stats
+
+    path = scratch_path(spark, "stats")
+    rows = exon_stats(spark, sf_dir)
+    rows.write.option("sep", ";").option("header", "true").csv(path)
+    return spark.read.option("sep", ";").option("header", "true").schema(rows.schema).csv(path)
+
+
+@query(_annotation_sql("first_splice_form"))
+def exon_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selected exons, kept as JSON lines and read back."""
+    from strandframe.plans.annotations import first_splice_form
+
+    path = scratch_path(spark, "exons")
+    rows = first_splice_form(spark, sf_dir)
+    rows.write.json(path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query(sql(DNA, "k AS (SELECT DISTINCT species = 'Homo_sapiens' AS home, substr(seq, CAST(i AS BIGINT), 8) AS kmer FROM seqs, LATERAL (SELECT unnest(range(1, greatest(length(seq) - 6, 1))) AS i))",
+           query="SELECT kmer, CASE WHEN bool_and(home) THEN 'only_left' ELSE 'only_right' END AS side FROM k WHERE regexp_full_match(kmer, '[ACGT]+') GROUP BY kmer HAVING count(*) = 1"))
+def kmer_set_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k-mers of the first species alone, and those of the others alone."""
+    rows = K.kmer_rows(dna(spark, sf_dir).withColumn("home", F.col("species") == "Homo_sapiens"), ["home"], "seq", 8)
+    sides = rows.groupBy("kmer").agg(F.bool_or("home").alias("l"), F.bool_or(~F.col("home")).alias("r")).where(F.col("l") != F.col("r"))
+    return sides.select("kmer", F.when(F.col("l"), "only_left").otherwise("only_right").alias("side"))
+
+
+@query("SELECT DISTINCT tileable_id, substr(seq, 1, length(seq) // 3) || translate(lower(substr(seq, length(seq) // 3 + 1, 30)), '*', ' ') || substr(seq, length(seq) // 3 + 31) AS masked FROM tileable_sequences WHERE alphabet = 'aa' AND seq <> ''")
+def softmask_amino(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A soft-masked range of amino acids, whose stops become blanks."""
+    rows = once(table(spark, sf_dir, "tileable_sequences").where((F.col("alphabet") == "aa") & (F.col("seq") != "")), "tileable_id")
+    return rows.select("tileable_id", softmask(F.col("seq"), F.expr("length(seq) div 3"), F.lit(30), amino=True).alias("masked"))
