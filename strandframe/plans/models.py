@@ -97,8 +97,8 @@ def _scan(width: int) -> str:
 def profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best window of every text and strand for every profile; starts on the reverse strand (frame 1) count from its own beginning."""
     ids, cube = P.to_cube(odds(spark, sf_dir), "ACGT")
-    out = P.best_scores(both_strands(spark, sf_dir), "seq_id", "text", ids, cube, frame_col="frame")
-    return out.withColumn("score", F.round("score", 6)).withColumnRenamed("id", "seq_id")
+    out = P.best_scores(both_strands(spark, sf_dir), "seq_id", "text", ids, cube, frame_col="frame", places=6)
+    return out.withColumnRenamed("id", "seq_id")
 
 
 @query(sql(DNA, _LOGITS, _P, _Q, _R, _scan(16), "least AS (SELECT profile_idx, 0.9 * sum(top) AS need FROM (SELECT profile_idx, pos, max(value) AS top FROM r GROUP BY ALL) GROUP BY profile_idx)",
@@ -106,8 +106,8 @@ def profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All windows of both strands within nine tenths of the highest score that a profile can reach; starts as in profile_scores."""
     ids, cube = P.to_cube(odds(spark, sf_dir), "ACGT")
-    out = P.match_sites(both_strands(spark, sf_dir), "seq_id", "text", ids, cube, 0.9 * cube.max(axis=2).sum(axis=1), frame_col="frame")
-    return out.withColumn("score", F.round("score", 6)).withColumnRenamed("id", "seq_id")
+    out = P.match_sites(both_strands(spark, sf_dir), "seq_id", "text", ids, cube, 0.9 * cube.max(axis=2).sum(axis=1), frame_col="frame", places=6)
+    return out.withColumnRenamed("id", "seq_id")
 
 
 # ---- losses and training of the seeded profiles, on tiles of both strands
