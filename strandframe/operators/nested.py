@@ -232,7 +232,8 @@ class NodeStore:
 
     def numbers(self, nodes: np.ndarray, integer: bool = True) -> pa.Array:
         got = self.texts(nodes)
-        ok = pc.fill_null(pc.match_substring_regex(got, r"^[+-]?[0-9]{1,18}$" if integer else r"^[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), False)
+        # whole numbers of 19 digits fit up to the greatest of 64 bits
+        ok = pc.fill_null(pc.match_substring_regex(got, r"^[+-]?0*([0-9]{1,18}|[1-8][0-9]{18}|9[01][0-9]{17}|92[01][0-9]{16}|922[0-2][0-9]{15})$" if integer else r"^[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), False)
         return pc.cast(pc.if_else(ok, got, pa.scalar(None, pa.string())), pa.int64() if integer else pa.float64())
 
     def resolve(self, nodes: np.ndarray) -> np.ndarray:

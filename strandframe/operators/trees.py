@@ -20,23 +20,46 @@ class Node:
 
 
 def parse_newick(text: str) -> Node:
-    """The root of a Newick tree; quotes are not supported."""
+    """The root of a Newick tree. Names may stand in single quotes, a doubled quote inside being one; comments in brackets are skipped."""
     root = node = Node()
-    word = ""
+    name, word, at, text = None, "", 0, text.strip()
+    if text.endswith(";"):
+        text = text[:-1]
 
-    def close(n: Node, w: str) -> None:
-        name, _, length = w.strip().partition(":")
-        n.name = name or n.name
+    def close(n: Node) -> None:
+        plain, _, length = word.strip().partition(":")
+        n.name = name if name is not None else plain
         n.length = float(length) if length else 0.0
 
-    for c in text.strip().rstrip(";"):
-        if c == "(":
+    while at < len(text):
+        c = text[at]
+        at += 1
+        if c == "'":
+            name, open_ = name or "", True
+            while at < len(text):
+                if text[at] != "'":
+                    name += text[at]
+                elif text[at + 1 : at + 2] == "'":
+                    name += "'"
+                    at += 1
+                else:
+                    open_ = False
+                    at += 1
+                    break
+                at += 1
+            if open_:
+                raise ValueError("a quote without its partner")
+        elif c == "[":
+            at = text.find("]", at) + 1
+            if not at:
+                raise ValueError("a comment without its end")
+        elif c == "(":
             child = Node(parent=node)
             node.children.append(child)
             node = child
         elif c in ",)":
-            close(node, word)
-            word = ""
+            close(node)
+            name, word = None, ""
             node = node.parent
             if node is None:
                 raise ValueError("unbalanced tree")
@@ -46,12 +69,50 @@ def parse_newick(text: str) -> Node:
                 node = child
         else:
             word += c
-    close(node, word)
+    close(node)
     if node is not root:
         raise ValueError("unbalanced tree")
     return root
 
 
+def newick(node: Node) -> str:
+    """The text of a tree; names with signs of the format are quoted."""
+
+    def part(n: Node) -> str:
+        plain = all(c.isalnum() or c in "_.-" for c in n.name)
+        name = n.name if plain else "'" + n.name.replace("'", "''") + "'"
+        inner = "(" + ",".join(part(c) for c in n.children) + ")" if n.children else ""
+        return f"{inner}{name}" + (f":{n.length:g}" if n.parent else "")
+
+    return part(node) + ";"
+
+
+def prune(root: Node, keep: set[str]) -> Node:
+    """A new tree of the kept leaves; inner nodes with one child left are joined with it, their lengths added."""
+
+    def copy(n: Node) -> Node | None:
+        if not n.children:
+            return Node(n.name, n.length) if n.name in keep else None
+        below = [c for c in map(copy, n.children) if c is not None]
+        if not below:
+            return None
+        if len(below) == 1:
+            below[0].length += n.length
+            return below[0]
+        out = Node(n.name, n.length, None, below)
+        for c in below:
+            c.parent = out
+        return out
+
+    if missing := keep - {x.name for x in root.leaves()}:
+        raise ValueError(f"no such leaves: {sorted(missing)}")
+    top = copy(root)
+    if top is None:
+        raise ValueError("nothing is kept")
+    top.parent, top.length = None, 0.0
+    return top
+
+
 def edges(root: Node) -> list[tuple[str, str | None, float]]:
     """(node, parent, branch length) of every node."""
     return [(root.name, root.parent.name if root.parent else None, root.length)] + [e for c in root.children for e in edges(c)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strandframe.operators import kmers as K
 from strandframe.operators import profiles as P
 from strandframe.operators import training as T
-from strandframe.operators.trees import edges, far_leaves, parse_newick
+from strandframe.operators.trees import edges, far_leaves, newick, parse_newick, prune
 from strandframe.plans.base import DNA, GREEDY, dna, sql
 from strandframe.plans.sequences import greedy_counts
 from strandframe.session import table
@@ -225,3 +225,18 @@ def far_species(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = far_leaves(tree, min(len(rows), len(rows) // 10 + 2))
     lengths = {name: x for name, _, x in edges(tree)}
     return spark.createDataFrame([(i, s, lengths[s]) for i, s in enumerate(chosen)], "place int, species string, branch_length double")
+
+
+@query()
+def far_species_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Species spread over a tree of two levels (by first letter), equal distances by the number of their sequences; with the tree that is left."""
+    rows = table(spark, sf_dir, "genomes").orderBy("genome_idx").collect()
+    known = {r["species"] for r in rows}
+    counts = {r["species"]: float(r["n"]) for r in table(spark, sf_dir, "sequences").groupBy("species").agg(F.count_distinct("sequence_id").alias("n")).collect() if r["species"] in known}
+    groups: dict[str, list[str]] = {}
+    for r in rows:
+        groups.setdefault(r["species"][0], []).append(f"{r['species']}:{r['branch_length']}")
+    tree = parse_newick("(" + ",".join(f"({','.join(g)}){k}:0.1" for k, g in sorted(groups.items())) + ")root;")
+    chosen = far_leaves(tree, min(len(rows), len(rows) // 10 + 2), counts)
+    left = newick(prune(tree, set(chosen)))
+    return spark.createDataFrame([(i, s, counts.get(s, 0.0), left) for i, s in enumerate(chosen)], "place int, species string, score double, tree string")
