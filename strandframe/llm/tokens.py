@@ -7,7 +7,11 @@ ahead. Where none exists the left chunk is continued until it meets the right on
 cut at the stitches and the pieces are encoded, so no encoder call sees more than about one
 chunk, and the ids are those of the whole text. Decoding concatenates the tokens' raw bytes.
 
-Texts up to one chunk have nothing to stitch. Runs in mapInArrow without a shuffle.
+Texts up to one chunk have nothing to stitch. They and texts up to SPREAD letters are encoded where
+they lie, in mapInArrow without a shuffle. Longer ones are first divided into rows at places that
+begin a pre-token whatever stands around them (a blank or line end after a letter or sign: no
+pre-token holds white space but at its begin, and what lies before has no blank at its end), so
+that tasks share one text; their ids are put together again by row.
 
 Defined results: null and empty texts give an empty list; strings of special tokens are
 ordinary text; repeated documents repeat their rows; extra columns are ignored.
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +34,8 @@ from strandframe.functions.arrowtext import byte_slices
 #: Where the vocabulary files lie on every node.
 TOKENIZERS = "/opt/tokenizers"
 CHUNK, OVERLAP = 8192, 256
+#: Letters of a text that one row keeps; longer texts are divided.
+SPREAD = 1 << 18
 LOOK = 4
 # Fixed value: the public pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -116,10 +123,39 @@ def _run(column: str, tokenizer: str, folder: str, chunk: int, overlap: int, cou
     return run
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+# A place where a text may be divided: before a blank or line end, after anything that is surely no white space or control sign.
+PLACE = re.compile("(?<=[^\\s\x00-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff])[ \n]")
+
+
+def divide(text: str, size: int = SPREAD) -> list[str]:
+    """Parts of about `size` letters that are encoded apart as they are together; longer where no place is found."""
+    cuts = [0]
+    while len(text) - cuts[-1] > size and (m := PLACE.search(text, cuts[-1] + size)):
+        cuts.append(m.start())
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
+
+
+def _divided(spread: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                parts = divide(batch.column(2)[i].as_py(), spread)
+                n = len(parts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * n)), batch.column(1).take(pa.array([i] * n)), pa.array(range(n), pa.int32()), pa.array(parts, pa.string())], ["row", "id", "part", "text"])
+
+    return run
+
+
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS, chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD) -> DataFrame:
     """id and ids of every row."""
     given = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInArrow(_run("text", tokenizer, folder, chunk, overlap, False), "id bigint, ids array<int>").withColumnRenamed("id", id_col)
+    long = F.coalesce(F.length("text") > spread, F.lit(False))
+    here = given.where(~long).mapInArrow(_run("text", tokenizer, folder, chunk, overlap, False), "id bigint, ids array<int>")
+    rows = given.where(long).select(F.monotonically_increasing_id().alias("row"), "id", "text")  # fixed by the scan's partitions and order
+    parts = rows.mapInArrow(_divided(spread), "row bigint, id bigint, part int, text string").repartition("row", "part")
+    coded = parts.mapInArrow(_run("text", tokenizer, folder, chunk, overlap, False), "row bigint, id bigint, part int, ids array<int>")
+    whole = coded.groupBy("row", "id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return here.unionByName(whole.select("id", "ids")).withColumnRenamed("id", id_col)
 
 
 def count_tokens(df: DataFrame, keys: dict[str, str], text_col: str = "text", tokenizer: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

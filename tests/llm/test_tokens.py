@@ -30,3 +30,19 @@ def test_operator(spark):
     assert got == [(0, ENC.encode_ordinary("x")), (1, ENC.encode_ordinary("a b")), (2, []), (3, []), (4, ENC.encode_ordinary("<|endoftext|>")), (4, ENC.encode_ordinary("<|endoftext|>"))]
     assert 50256 not in got[4][1]
     assert tokens.encode(df.limit(0)).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(SIGNS, st.sampled_from(["\x1c", "​", " ", "\x85", ".", "-x"])), max_size=120).map("".join), st.sampled_from([1, 4, 17]))
+def test_divided_texts_are_encoded_alike(text, size):
+    parts = tokens.divide(text, size)
+    assert "".join(parts) == text
+    assert [i for p in parts for i in ENC.encode_ordinary(p)] == ENC.encode_ordinary(text)
+
+
+def test_tasks_share_one_text(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["word ", "x\n", " ", "été", "12", "'s ", "日本"]) for _ in range(3000)) for _ in range(3)] + ["a" * 3000, "", None]
+    rows = [(i % 5, t) for i, t in enumerate(texts + texts[:2])]
+    got = sorted((r["doc_id"], list(r["ids"])) for r in tokens.encode(spark.createDataFrame(rows, "doc_id bigint, text string"), spread=500).collect())
+    assert got == sorted((i, ENC.encode_ordinary(t or "")) for i, t in rows)
