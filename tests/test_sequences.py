@@ -51,6 +51,24 @@ def test_interval_truth_table(spark):
     assert [r["name"] for r in I.overlap_join(parent, kids, ["k"], width=8, contained=True).collect()] == ["inside"]
 
 
+def test_overlaps_of_all_lengths(spark):
+    rng = random.Random(12)
+    sides = []
+    for n in (120, 150):
+        rows = []
+        for i in range(n):
+            s = rng.randrange(-50, 40_000)
+            rows.append((i, rng.choice("cd"), s, s + rng.choice([0, 1, 5, 60, 700, 20_000, 10**9])))
+        sides.append(rows)
+    a = spark.createDataFrame(sides[0], "i int, k string, s bigint, e bigint")
+    b = spark.createDataFrame(sides[1], "j int, k string, s bigint, e bigint")
+    pairs = [(r["i"], r["j"]) for r in I.overlap_join(a, b, ["k"], width=4).collect()]
+    assert len(pairs) == len(set(pairs))
+    assert set(pairs) == {(x[0], y[0]) for x in sides[0] for y in sides[1] if x[1] == y[1] and y[2] < x[3] and y[3] > x[2]}
+    inside = {(r["i"], r["j"]) for r in I.overlap_join(a, b, ["k"], width=4, contained=True).collect()}
+    assert inside == {(x[0], y[0]) for x in sides[0] for y in sides[1] if x[1] == y[1] and x[2] <= y[2] and y[3] <= x[3]}
+
+
 def test_containment_over_bins(spark):
     rng = random.Random(3)
     rows = [(i, "c", s, s + rng.randrange(1, 120)) for i in range(300) for s in [rng.randrange(0, 2000)]]
