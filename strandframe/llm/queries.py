@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.llm import garble, mix, split, tokens
+from strandframe.plans.base import once
 from strandframe.session import table
 
 
@@ -16,8 +17,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "tileable_sequences")
-    once = rows.select("tileable_id", "seq", "alphabet", "tile_size", "tile_overlap").where(F.col("seq") != "").dropDuplicates()
-    return split.pieces(once)
+    return split.pieces(once(rows.where(F.col("seq") != ""), "tileable_id"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
