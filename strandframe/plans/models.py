@@ -217,6 +217,16 @@ def reported_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return empty.select("report", "profile_idx", "genome", "seq", "frame", (F.col("tile_start") + F.col("tile_pos")).alias("start"), F.round("score", 6).alias("score"))
 
 
+@query()
+def reported_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reported profiles of the same run: epoch, threshold, least loss, number of sites and letter shares."""
+    rows = []
+    for i, r in enumerate(_trained(spark, sf_dir)["reports"]):
+        head = (i, r["epoch"], r["profile"], round(r["threshold"], 6), round(r["min_loss"], 6), r["n_sites"])
+        rows += [(*head, p, c, round(float(r["profile_matrix"][p, a]), 6)) for p in range(len(r["profile_matrix"])) for a, c in enumerate("ACGT")]
+    return spark.createDataFrame(rows, "report int, epoch int, profile_idx int, threshold double, min_loss double, n_sites bigint, pos int, letter string, share double")
+
+
 @query()
 def far_species(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Species spread over a star tree by their branch lengths (one row per genome: at most a few hundred)."""
