@@ -250,3 +250,17 @@ def test_streaming_ingest(spark, tmp_path):
         spark.createDataFrame(rows, "id string, v int").coalesce(1).write.mode("append").parquet(source)
         append_unseen(spark.readStream.schema("id string, v int").parquet(source), target, "id", str(tmp_path / "cp")).awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(target).select("id", "v").collect())) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_first_windows_of_tiles_are_known_without_a_shuffle(spark):
+    """The kernel marks them, beyond masked letters and signs of several bytes too; the greedy index is the same by either way."""
+    rng = random.Random(8)
+    texts = [("g", i, 0, "".join(rng.choice("ACGTn" if i % 2 else "AC") for _ in range(rng.randrange(0, 90)))) for i in range(30)] + [("h", 40, 0, "é" * 7 + "ACGTACGTAC"), ("h", 41, 1, None)]
+    df = spark.createDataFrame(texts, "g string, s int, f int, t string").repartition(3)
+    rows = K.kmer_rows(df, ["g", "s", "f"], "t", 4, tile=6)
+    firsts = {(r["s"], r["pos"] // 6): r["pos"] for r in sorted(rows.collect(), key=lambda r: -r["pos"])}
+    assert {(r["s"], r["pos"]) for r in rows.where("opens").collect()} == {(s, pos) for (s, _), pos in firsts.items()}
+    order = ["g", "s", "f", "pos"]
+    marked, plain = (K.greedy_index(x, order, 6) for x in (rows, rows.drop("opens")))
+    assert sorted(marked.collect()) == sorted(plain.collect())
+    assert str(marked._jdf.queryExecution().optimizedPlan()).count("Aggregate") < str(plain._jdf.queryExecution().optimizedPlan()).count("Aggregate")
